@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeloom.llm import quota_sample, tokens
+from takeloom.llm import leaks, quota_sample, tokens
 from takeloom.session import key, table
 
 SEED = 20270607
@@ -39,7 +39,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_quotas": p2_quotas, "p2_sample": p2_sample, "p6_ids": p6_ids}
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_spans(spark, sf_dir).select("doc_id", "eval_id").distinct()
+
+
+def p7_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.removal_spans(p7_spans(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_quotas": p2_quotas, "p2_sample": p2_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removal": p7_removal}
 
 SQL: dict[str, str] = {
     "p2_found": """
