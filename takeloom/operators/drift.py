@@ -30,7 +30,7 @@ def _split(line: str, delimiter: str) -> list[str]:
 
 def header_fields(header: str | None) -> tuple[str, list[str]]:
     """Delimiter and field names of a header line. Names are trimmed and lower-cased, without byte-order mark and quotes; a repeated one gets _2, _3, ..."""
-    text = (header or "").replace("﻿", "")
+    text = (header or "").replace("\ufeff", "")
     delimiter = max(DELIMITERS, key=text.count)
     names: list[str] = []
     seen: dict[str, int] = {}
