@@ -1,25 +1,26 @@
-"""Words\u0020of\u0020a\u0020text\u0020as\u0020passages\u0020are\u0020compared:\u0020runs\u0020of\u0020letters\u0020and\u0020digits,\u0020whatever\u0020their\u0020case,\u0020width,\u0020punctuation,\u0020invisible\u0020characters\u0020and\u0020line\u0020breaks."""
+"""Words of a text as passages are compared: runs of letters and digits, whatever their case, width, punctuation, invisible characters and line breaks."""
 
-from\u0020__future__\u0020import\u0020annotations
+from __future__ import annotations
 
-import\u0020unicodedata
+import unicodedata
 
-import\u0020regex
+import regex
 
-_WORD\u0020=\u0020regex.compile(r"[\p{L}\p{N}]+")
-_SOFT_BREAK\u0020=\u0020regex.compile(r"\u00ad(?=\s*[\n\r\u0085  ])")
-#:\u0020Format\u0020characters,\u0020marks\u0020that\u0020stay\u0020after\u0020composition,\u0020and\u0020fillers\u0020without\u0020a\u0020shape.
-_UNSEEN\u0020=\u0020regex.compile(r"[\p{Cf}\p{Mn}\p{Me}\u115f\u1160\u3164\uffa0]+")
-_BROKEN\u0020=\u0020regex.compile(r"(?<=[\p{L}\p{N}])[-\u2010]+[^\S\n\r\u0085  ]*[\n\r\u0085  ][\s>]*(?=[\p{L}\p{N}])")
+_LINE_END = r"[\n\r\u0085  ]"
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_SOFT_BREAK = regex.compile(r"­(?=[^\S\n\r]*" + _LINE_END + ")")
+#: Format characters, marks that stay after composition, and fillers without a shape.
+_UNSEEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}ᅟᅠㅤﾠ]+")
+_BROKEN = regex.compile(r"(?<=[\p{L}\p{N}])[-‐]+[^\S\n\r]*" + _LINE_END + r"[\s>]*(?=[\p{L}\p{N}])")
 
 
-def\u0020words(text:\u0020str\u0020|\u0020None)\u0020->\u0020list[str]:
-\u0020\u0020\u0020\u0020"""Folded\u0020words;\u0020a\u0020word\u0020broken\u0020by\u0020a\u0020hyphen\u0020at\u0020a\u0020line\u0020end\u0020(also\u0020before\u0020a\u0020quoted\u0020line's\u0020`>`)\u0020is\u0020one\u0020word.\u0020NULL\u0020and\u0020blank\u0020texts\u0020have\u0020none."""
-\u0020\u0020\u0020\u0020if\u0020not\u0020text:
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020return\u0020[]
-\u0020\u0020\u0020\u0020if\u0020not\u0020text.isascii():
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020text\u0020=\u0020unicodedata.normalize("NFKC",\u0020text)
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020text\u0020=\u0020_UNSEEN.sub("",\u0020_SOFT_BREAK.sub("-",\u0020text))
-\u0020\u0020\u0020\u0020if\u0020"-"\u0020in\u0020text\u0020or\u0020"\u2010"\u0020in\u0020text:
-\u0020\u0020\u0020\u0020\u0020\u0020\u0020\u0020text\u0020=\u0020_BROKEN.sub("",\u0020text)
-\u0020\u0020\u0020\u0020return\u0020_WORD.findall(text.casefold())
+def words(text: str | None) -> list[str]:
+    """Folded words; a word broken by a hyphen at a line end (also before a quoted line's `>`) is one word. NULL and blank texts have none."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+        text = _UNSEEN.sub("", _SOFT_BREAK.sub("-", text))
+    if "-" in text or "‐" in text:
+        text = _BROKEN.sub("", text)
+    return _WORD.findall(text.casefold())
