@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeloom.llm import leaks, quota_sample, tokens
+from takeloom.llm import abuse, leaks, quota_sample, tokens
 from takeloom.session import key, table
 
 SEED = 20270607
@@ -51,7 +51,23 @@ def p7_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.removal_spans(p7_spans(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_quotas": p2_quotas, "p2_sample": p2_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removal": p7_removal}
+ABUSIVE = 0.5
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where(F.col("score") >= ABUSIVE).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return abuse.abuse_rates(docs, abuse.abuse_scores(docs), threshold=ABUSIVE)
+
+
+QUERIES = {"p2_found": p2_found, "p2_quotas": p2_quotas, "p2_sample": p2_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removal": p7_removal, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 SQL: dict[str, str] = {
     "p2_found": """
