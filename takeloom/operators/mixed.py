@@ -81,7 +81,7 @@ def fit(df: DataFrame, y: str, x: list[str], factors: tuple[str, str], max_level
     rows = []
     for name, b, v in zip(["intercept", *x], f["b"], np.diag(f["cov"]), strict=True):
         se = math.sqrt(max(v, 0.0))
-        z = b / se if se else None
+        z = float(b / se) if se else None
         rows.append((name, float(b), se, z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, float(b - 1.959964 * se), float(b + 1.959964 * se)))
     for name, r in zip(factors, f["ratio"], strict=True):
         rows.append((f"var({name})", 0.0 if r <= math.exp(-15.9) else float(r * f["sigma2"]), None, None, None, None, None))
