@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeloom.operators.bitmaps import Bitmap
+from takeloom.session import stage
 
 #: Stands for the period of a row without a moment: after all others.
 TIMELESS = 1 << 40
@@ -83,7 +84,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, *, period_days: int =
     used = refs.groupBy("target", "key", period("at").alias("period"), "table_name").agg(F.sum(zero).alias("starts"), F.sum(zero).alias("ends")).select("target", "key", "period", "table_name", "starts", "ends")
     n_ranges = max(1, (refs.count() + targets.count()) // keys_per_range)
     facts = events.unionByName(used).withColumn("key_range", F.pmod(F.xxhash64("key"), F.lit(n_ranges)))
-    doubtful = facts.groupBy("target", "key_range").applyInPandas(_verdicts, VERDICT)
+    doubtful = stage(facts.groupBy("target", "key_range").applyInPandas(_verdicts, VERDICT), "doubtful")
 
     salt = F.pmod(F.xxhash64("row_id"), F.lit(salts))
     spread = doubtful.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
@@ -92,7 +93,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, *, period_days: int =
            .select("r.table_name", "r.row_id", "r.target", "r.key", "r.at", "r.period", "r.salt", "d.verdict", "d.alive", "d.started"))
     sure = hit.where("verdict <> 'check'").select("table_name", "row_id", "key", "at", F.col("verdict").alias("reason"))
 
-    check = hit.where("verdict = 'check'")
+    check = stage(hit.where("verdict = 'check'"), "check")
     asked = check.groupBy("target", "key", "period", "at").agg(F.max("alive").alias("alive"), F.max("started").alias("started"))
     inside = moments.where("at is not null").withColumn("period", period("at")).groupBy("target", "key", "period", "at").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
     inside = inside.join(asked.select("target", "key", "period").distinct(), ["target", "key", "period"], "left_semi")
