@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from takeloom.llm.automaton import Trie
-from takeloom.llm.lexicon import MENTION, PHRASES, TERMS, cues, literals
+from takeloom.llm.lexicon import COMMON, MENTION, PHRASES, TERMS, cues, literals
 
 #: FIXED VALUES: look-alikes of Latin letters, digits and signs used as letters, vowels.
 LOOKALIKE = dict(zip("\u0430\u0432\u0441\u0501\u0435\u04bb\u0456\u0458\u04cf\u043a\u043c\u043d\u043e\u0440\u051b\u0455\u0442\u0438\u0445\u0443\u0475\u0461\u03b1\u03b2\u03b5\u03b9\u03ba\u03bd\u03bf\u03c1\u03c4\u03c5\u03c7", "abcdehijlkmhopqstuxyvwabeiknoptux", strict=True))
@@ -66,7 +66,7 @@ class Lexicon:
                 self.bones.setdefault(bone, t)
         self.bones |= {"fck": "fuck", "fcking": "fucking", "kll": "kill", "dck": "dick", "cck": "cock", "sx": "sex"}
         self.trie = Trie({t for t in self.exact if len(t) >= (4 if t in terms else 7)})
-        self.ordinary = ordinary
+        self.ordinary = ordinary | set(COMMON.split())
         self.cache: dict[str, tuple[str, bool]] = {}
         alternatives = {name: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")(?:s|es|n|en)?" for name, words in classes.items()}
         self.phrases = [(re.compile(re.sub(r"\{([A-Z]+)\}", lambda m: alternatives[m[1]], p)), w) for p, w in PHRASES]

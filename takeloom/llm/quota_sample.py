@@ -100,13 +100,13 @@ def draw(population: DataFrame, quota: DataFrame, stratum: str, row: str, col: s
     A cell with a third of all rows is ranked in parts first; only rows within the quota of their part are ranked together.
     """
     cells = [stratum, row, col]
-    number = quota.groupBy(*cells).agg(F.sum("quota").alias("quota")).where("quota > 0")
-    ranked = population.join(number, cells).withColumn("luck", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
-    order = [F.col("luck"), F.col(id_col)]
-    part = Window.partitionBy(*cells, "salt").orderBy(*order)
-    some = ranked.withColumn("salt", F.pmod("luck", F.lit(salts))).withColumn("rank", F.row_number().over(part)).where("rank <= quota")
-    best = some.withColumn("rank", F.row_number().over(Window.partitionBy(*cells).orderBy(*order))).where("rank <= quota")
-    return best.drop("salt", "rank", "luck", "quota")
+    number = quota.groupBy(*cells).agg(F.sum("quota").alias("_quota")).where("_quota > 0")
+    ranked = population.join(number, cells).withColumn("_luck", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
+    order = [F.col("_luck"), F.col(id_col)]
+    part = Window.partitionBy(*cells, "_salt").orderBy(*order)
+    some = ranked.withColumn("_salt", F.pmod("_luck", F.lit(salts))).withColumn("_rank", F.row_number().over(part)).where("_rank <= _quota")
+    best = some.withColumn("_rank", F.row_number().over(Window.partitionBy(*cells).orderBy(*order))).where("_rank <= _quota")
+    return best.drop("_salt", "_rank", "_luck", "_quota")
 
 
 def eligible(df: DataFrame, stratum: str, id_col: str, row: str, col: str, rate: Callable, *, at: str = "loaded_at", ends: str = "deleted_at", tie: str = "row_id") -> DataFrame:
