@@ -41,7 +41,7 @@ def grid_scores(df: DataFrame, value: str, label: str, grid: list[float], direct
     # how many thresholds the value is above (for `>`), or at or above (for `<`), or above (for `<=`)
     cell = F.size(F.filter(at, (lambda g: g <= v) if direction == "<" else (lambda g: g < v)))
     counts = rows.groupBy(*group, cell.alias("cell")).agg(F.count_if(F.col(label)).alias("pos"), F.count("*").alias("all"))
-    total = counts.groupBy(*group).agg(F.sum("pos").alias("positives"), F.sum("all").alias("n"))
+    total = counts.groupBy(*group).agg(F.sum("pos").alias("positives"), F.sum("all").alias("n")).where("n > 0")
     steps = total.select("*", F.posexplode(at).alias("k", "threshold"))
     side = "c.cell > s.k" if direction == ">" else "c.cell <= s.k"
     same = " and ".join([*(f"c.{g} <=> s.{g}" for g in group), side])

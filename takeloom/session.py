@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,18 @@ def canonical(c: str | Column) -> Column:
     return F.coalesce(number.cast("string"), F.when(low.isin("true", "false"), low), t)
 
 
-def columns_apart(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns: what else a caller's table holds can't clash with an operator's own columns."""
-    return df.select(*names)
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, wherever they run; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="takeloom-")) / "takeloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
