@@ -357,7 +357,7 @@ def most_changed(s: SparkSession, d: str) -> DataFrame:
 def symmetric_flags(s: SparkSession, d: str) -> DataFrame:
     rows = _acoustics(s, d).withColumn("session", F.substring_index("utt_id", "_", 1))
     out = versions.session_flags(rows, "session", NUMBERS, ("s01", "s02"))
-    return out.select("measure", *[F.round(c, 6).alias(c) for c in ("first", "second", "pct_diff")], "flagged")
+    return out.select("measure", *[F.round(c, 9).alias(c) for c in ("first", "second", "pct_diff")], "flagged")
 
 
 # thresholds
@@ -453,7 +453,7 @@ def session_means(s: SparkSession, d: str) -> DataFrame:
     rows = _acoustics(s, d).withColumn("session", F.substring_index("utt_id", "_", 1))
     aggs = [F.avg(stats.clean("f0_median_hz")).alias("f0"), F.avg(stats.clean("shr_median")).alias("shr"), *[F.avg(F.when(F.col("pass") == p, stats.clean("f0_median_hz"))).alias(f"f0_{p[0]}") for p in ("a_modal", "b_natural", "c_creak")]]
     names = ["f0", "shr", "f0_a", "f0_b", "f0_c"]
-    return rows.groupBy("session").agg(*aggs).select("session", *[F.round(c, 6).alias(c) for c in names])
+    return rows.groupBy("session").agg(*aggs).select("session", *[F.round(c, 9).alias(c) for c in names])
 
 
 def decibels(s: SparkSession, d: str) -> DataFrame:

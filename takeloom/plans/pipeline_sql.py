@@ -178,7 +178,7 @@ select round(sum(a) / sum(la), 6) as own_rate, round(sum(b) / sum(lb), 6) as nex
     "sign_changes": f"with {_diff()} select utt_id, measure from diff where changed and sign_changed",
     "most_changed": f"with {_diff()} select measure, count(*) as n from diff where changed group by 1 order by n desc, measure limit 10",
     "symmetric_flags": f"with {V2}, m as (" + " union all ".join(f"select '{m}' as measure, avg({m}) filter (not isnan({m}) and split_part(utt_id, '_', 1) = 's01') as a, avg({m}) filter (not isnan({m}) and split_part(utt_id, '_', 1) = 's02') as b from v2" for m in NUMBERS) + """)
-select measure, round(a, 6) as first, round(b, 6) as second, round(d, 6) as pct_diff, coalesce(d > 15, false) as flagged from (select *, case when a = 0 and b = 0 then 0.0 else abs(a - b) / ((abs(a) + abs(b)) / 2) * 100 end as d from m)""",
+select measure, round(a, 9) as first, round(b, 9) as second, round(d, 9) as pct_diff, coalesce(d > 15, false) as flagged from (select *, case when a = 0 and b = 0 then 0.0 else abs(a - b) / ((abs(a) + abs(b)) / 2) * 100 end as d from m)""",
     "threshold_grid": f"with {LABELLED} select threshold, round(p, 6) as precision, round(r, 6) as recall, round({_F1}, 6) as f1, n, pos as positives from (select *, {_PRF} from ({_grid('shr_median', SHR, 'shr_median > g')}))",
     "threshold_best": f"with {LABELLED} " + " union all ".join(f"({_best(n, n, g, t)})" for n, g, t in (("shr_median", SHR, "shr_median > g"), ("h1_h2_db_mean", H1H2, "h1_h2_db_mean < g"), ("jitter_local_pct", JITTER, "jitter_local_pct > g"))),
     "percentile_grid": f"with {LABELLED}, {PERCENT_ROWS} select * from graded",
@@ -198,8 +198,8 @@ select round(((q - s * s / n) / (k - 1)) / (w / (n - k)), 6) as f, k - 1 as df_b
     "ols_line": """select l_returnflag, count(*) as n, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept, round(avg(l_quantity), 4) as mean_x,
 round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / (count(*) - 2)), 4) as residual_se from lineitem group by 1""",
     "nan_rate": " union all ".join(f"select '{m}' as measure, round(avg(({m} is null or isnan({m}))::int), 6) as rate from acoustics_v2" for m in NUMBERS),
-    "session_means": f"""with {V2} select split_part(utt_id, '_', 1) as session, round(avg(f0_median_hz) filter (not isnan(f0_median_hz)), 6) as f0, round(avg(shr_median) filter (not isnan(shr_median)), 6) as shr,
-{", ".join(f"round(avg(f0_median_hz) filter (not isnan(f0_median_hz) and pass = '{p}'), 6) as f0_{p[0]}" for p in ("a_modal", "b_natural", "c_creak"))} from v2 group by 1""",
+    "session_means": f"""with {V2} select split_part(utt_id, '_', 1) as session, round(avg(f0_median_hz) filter (not isnan(f0_median_hz)), 9) as f0, round(avg(shr_median) filter (not isnan(shr_median)), 9) as shr,
+{", ".join(f"round(avg(f0_median_hz) filter (not isnan(f0_median_hz) and pass = '{p}'), 9) as f0_{p[0]}" for p in ("a_modal", "b_natural", "c_creak"))} from v2 group by 1""",
     "decibels": "select event_id, case when value > 0 then round(20 * log10(value), 6) end as db from events",
     "value_percentiles": "select user_id, round(quantile_cont(value, 0.1) filter (value > 0), 6) as p10, round(quantile_cont(value, 0.5) filter (value > 0), 6) as p50, round(quantile_cont(value, 0.9) filter (value > 0), 6) as p90, round(avg((value > 0)::int), 6) as share from events group by 1",
 }
