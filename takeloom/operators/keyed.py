@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from takeloom.operators import validate
 
+#: FIXED VALUES: patterns of the project's keys and file names.
 UTTERANCE = r"^([^_]+)_(.+)_([CDF]\d{3,})$"
+CALIBRATION = r"^([^_]+)_(.+)_(roomtone|sustained_a|glide|creak_cal|carrier)$"
+BLOCK = r"^([^_]+)_pass(.+)_block$"
 
 
 def latest(df: DataFrame, keys: list[str], columns: list[str], at: str = "loaded_at", tie: str | None = None) -> DataFrame:

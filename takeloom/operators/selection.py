@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeloom.operators import ordered
-from takeloom.operators.validate import ProblemsFound, gate
+from takeloom.operators.validate import ProblemsFound, duplicates, gate
 
 
 def luck(key: str, seed: int) -> Column:
@@ -76,3 +78,12 @@ def blind(sample: DataFrame, order: str, key: str, seed: int) -> tuple[DataFrame
     """(what annotators see: key and a random order; the key table that undoes it): neither condition nor estimate is in the first."""
     numbered = ordered.row_numbers(sample.withColumn("_luck", luck(key, seed)), ["_luck", key], order).drop("_luck")
     return numbered.select(order), numbered
+
+
+def union_of_strata(strata: dict[str, DataFrame], key: str, total: int | None = None) -> DataFrame:
+    """All strata in one frame with their names; a key in two strata, or another total than asked for, raises."""
+    out = reduce(DataFrame.unionByName, [df.withColumn("stratum", F.lit(n)) for n, df in strata.items()])
+    gate(duplicates(out, [key]), "rows in several strata")
+    if total is not None and out.count() != total:
+        raise ProblemsFound(f"{out.count()} rows, {total} wanted")
+    return out

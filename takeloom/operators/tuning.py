@@ -83,3 +83,15 @@ def plateau(scored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     rows = rows.withColumn("tie", F.abs(F.col("f1") - F.col("best")) < tolerance).withColumn("breaks", F.sum(F.when(F.col("tie"), 0).otherwise(1)).over(over))
     won = rows.where("tie").groupBy("breaks").agg(F.min("percent").alias("percent"), F.min_by("cutoff", "percent").alias("cutoff"), F.first("best").alias("f1"), F.max("percent").alias("plateau_percent"), F.max_by("cutoff", "percent").alias("plateau_cutoff"))
     return won.orderBy("percent").limit(1).drop("breaks")
+
+
+def applied(value: Column, threshold: float, direction: str) -> Column:
+    """Whether the value is predicted positive; NULL for a missing or NaN one."""
+    test = {">": value > threshold, "<": value < threshold, "<=": value <= threshold}[direction]
+    return F.when(value.isNotNull() & ~F.isnan(value), test)
+
+
+def winning_settings(best: DataFrame, component: str = "component", exclude: tuple[str, ...] = ()) -> dict[str, float]:
+    """Threshold per component, without the excluded and those no better than always saying yes."""
+    rows = best.where(~F.col("degenerate") & ~F.col(component).isin(*exclude, "")).select(component, "threshold").orderBy(component).collect()  # one row per component
+    return {r[0]: r[1] for r in rows}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeloom.functions import text, wer
-from takeloom.operators import dyadic, keyed, mixed, ordered, selection, sequence, stats, timeline, tuning, validate, versions
+from takeloom.operators import dyadic, keyed, mixed, ordered, scoring, selection, sequence, stats, timeline, tuning, validate, versions
 from takeloom.plans.core_queries import MEASURES
 from takeloom.session import key, stage_root, table
 from takeloom.streaming import resume
@@ -331,6 +331,14 @@ def wer_gap_two_refs(s: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.round(rate["own"], 6).alias("own_rate"), F.round(rate["next"], 6).alias("next_rate"), F.round(rate["next"] - rate["own"], 6).alias("gap"))
 
 
+def scored_two_references(s: SparkSession, d: str) -> DataFrame:
+    """The last delivered text of each item as a hypothesis, against the first delivery and against its neighbour's text."""
+    first = _deliveries(s, d).select(F.col("item_id").alias("utt_id"), F.col("script_text").alias("verbatim_text"), F.col("last_text").alias("hypothesis"))
+    after = _pairs(s, d).select(F.col("item_id").alias("utt_id"), F.array_join("hyp", " ").alias("script_text"))
+    out = scoring.scored(first.drop("hypothesis").join(after, "utt_id"), first.select("utt_id", "hypothesis"), strict=False)
+    return out.withColumnsRenamed({"utt_id": "item_id"})
+
+
 def sequence_alignment(s: SparkSession, d: str) -> DataFrame:
     """Items of a block of a hundred in order, aligned with the words of their first deliveries, read at two words a second."""
     rows = _deliveries(s, d).where(r"item_id rlike '^[cdf]\\d{3,9}$'").select("item_id", F.expr("concat(substr(item_id, 1, 1), int(substr(item_id, 2)) div 100)").alias("take"), F.expr("int(substr(item_id, 2)) % 100").alias("position"), text.simple_tokens("last_text").alias("tokens"), text.simple_tokens("script_text").alias("heard"))

@@ -107,3 +107,8 @@ def read_labels(path: str, name: str) -> set[str]:
 def as_settings(values: dict[str, object]) -> str:
     """Settings as `name: value` lines."""
     return "".join(f"{k}: {v}\n" for k, v in values.items())
+
+
+def write_texts(df: DataFrame, key: str, text: str, path: str) -> None:
+    """One folder per key with its text, as <key>=<value>/part files."""
+    df.select(key, F.coalesce(text, F.lit("")).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
