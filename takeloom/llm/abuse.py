@@ -26,7 +26,11 @@ VOWELS = "aeiou"
 _UNSEEN = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u3164\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-*_/])(?:[^\W_]\1)+[^\W_](?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|[\n\r\u0085\u2028\u2029]+")
-_TOKEN = re.compile(r"[,:;]|--|[\u2013\u2014]|[\w$@*#](?:[\w$@*#!]*[\w$@*#])?")
+_WORD = r"[\w$@*#]+(?:!+[\w$@*#]+)*"
+_WORDS = re.compile(_WORD)
+_TOKEN = re.compile(r"[,:;]|--|[\u2013\u2014]|" + _WORD)
+_LONG = re.compile(r"\b[a-z]{4,}\b", re.ASCII)
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _RUN = re.compile(r"(.)\1{2,}")
 _REPEAT = re.compile(r"(.)\1+")
 _QUOTED = re.compile("['\"\u2018\u2019\u201c\u201d\u201e\u00ab\u00bb]([\\w$@*#!]+(?: [\\w$@*#!]+){0,2})['\"\u2018\u2019\u201c\u201d\u00ab\u00bb](?!\\w)")
@@ -36,8 +40,7 @@ _MENTION = re.compile(MENTION.replace("\n", ""))
 def fold(text: str) -> str:
     """Lower case, full width to plain, no invisible characters, no accents, spaced-out words drawn together."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", _UNSEEN.sub("", text))
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _UNSEEN.sub("", text)))
     text = text.casefold()
     return _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
 
@@ -68,6 +71,8 @@ class Lexicon:
         self.trie = Trie({t for t in self.exact if len(t) >= (4 if t in terms else 7)})
         self.ordinary = ordinary | set(COMMON.split())
         self.cache: dict[str, tuple[str, bool]] = {}
+        #: Words seen that are no hits.
+        self.idle: set[str] = set()
         alternatives = {name: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")(?:s|es|n|en)?" for name, words in classes.items()}
         self.phrases = [(re.compile(re.sub(r"\{([A-Z]+)\}", lambda m: alternatives[m[1]], p)), w) for p, w in PHRASES]
         #: Which phrases a word can be part of.
@@ -122,12 +127,9 @@ class Lexicon:
                 return part, True
         return word, False
 
-    def doubtful(self, token: str) -> bool:
-        """Whether only a slip makes the token a term; frequent such words are ordinary ones."""
-        word = token.strip("*_#")
-        if word in self.known or not word.isalpha() or not word.isascii() or _RUN.search(word):
-            return False
-        return self.spelled(token)[1]
+    def doubtful(self, word: str) -> bool:
+        """Whether only a slip makes a word of plain letters a term; frequent such words are ordinary ones."""
+        return word not in self.known and not _RUN.search(word) and self.spelled(word)[1]
 
     def score(self, text: str | None) -> tuple[float, str]:
         """The score of the worst sentence, from 0 to 1, and the words that made it."""
@@ -136,10 +138,18 @@ class Lexicon:
         best = (0.0, "")
         folded = fold(text)
         spelled = self.spelled
+        fresh = set(_WORDS.findall(folded)) - self.idle
+        hits = {w for w in fresh if spelled(w)[1]}
+        if len(self.idle) > 1_000_000:
+            self.idle.clear()
+        self.idle |= fresh - hits
+        if not hits:
+            return best
         for sentence in _SENTENCE.split(folded):
-            tokens = _TOKEN.findall(sentence)
+            if not any(h in sentence for h in hits):
+                continue
             said, phrases = [], set()
-            for t in tokens:
+            for t in _TOKEN.findall(sentence):
                 if len(t) == 1 and t in ",:;\u2013\u2014" or t == "--":
                     said.append(",")
                     continue
@@ -179,15 +189,18 @@ def ordinary_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = lexicon()
+        lex, plain = lexicon(), set()
         for pdf in frames:
             seen: dict[str, int] = {"": len(pdf)}
             for text in pdf[text_col]:
                 if text:
-                    for t in set(_TOKEN.findall(fold(text))):
-                        if lex.doubtful(t):
-                            t = t.strip("*_#")
-                            seen[t] = seen.get(t, 0) + 1
+                    new = set(_LONG.findall(text.casefold() if text.isascii() else fold(text))) - plain
+                    slips = {w for w in new if lex.doubtful(w)}
+                    plain |= new - slips
+                    for w in slips:
+                        seen[w] = seen.get(w, 0) + 1
+            if len(plain) > 1_000_000:
+                plain.clear()
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     counts = docs.select(text_col).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

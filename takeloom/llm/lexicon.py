@@ -37,16 +37,17 @@ TERMS: dict[str, str] = {
 
 #: Words too common to make a text worth a close look.
 COMMON = """
-    about air alive all allowed and annotator any anyone are arms ate back bed best better bist blas bring but can clip clips coder colleague com come
-    complete completely could count cut das dead der des dich die dir director doch does dog don done dont down each eat editor ein eine einer end
-    engineer entry espece every everything explicit face faces for free from get getting girl give given goes going gonna good guy had half hard has
-    have having head hear heard her here hey him his hold home hot house how intern into job just kind know lab lady laid last leave leaving les less
-    let like little look looks los mach mad make makes man manager may mehr moi more most must name near never new nicer night normal not off old one
-    only operator our out over own pas pay people person phonetician phrase pic pics picture pictures place plague point put que rater read real
-    really ribs right room run safer said scarcely script set she should shouldn some somebody someone son sont space speaker speakers stop street
-    strong student such supervisor swear take talent tal technician than thanks that the their them these they this those time tonight too top total
-    totally touch town try und under une unos until use vais very video videos voy wake walk was wanna want wants well wer what when where whoever who
-    will with without woman word words work works world would write you your yourself"""
+    about air alive all alle allowed and annotator any anyone are arms around assistant ate back bed beneath best better bist blas boss bring but can
+    clip clips coder colleague com come complete completely coordinator could count cut das dead den der des dich die dir director doch does dog don
+    done dont down each eat editor ein eine einer end engineer entry espece even every everything explicit face faces for free from get getting girl
+    give given goes going gonna good guy had half hard has have having hay head hear heard her here hey him his hit hold home hot house how intern
+    into job jump just kind know lab lady laid last leave leaving les less let like listen little look looks los mach mad make makes man manager may
+    mehr moi more most must name near never new nicer night nobody normal not off old one only operator our out over own pas pay people person
+    phonetician phrase pic pics picture pictures place plague point put que rater read real really reviewer ribs right room run safer said scarcely
+    script sense set she should shouldn sind some somebody someone son sont space speaker speakers stop street strong student such supervisor swear
+    take tal talent technician than thanks that the their them these they this those throat time tonight too top total totally touch town try una und
+    under une unos until use vais very video videos voy wake walk wanna want wants was well wer what when where who whoever will with without woman
+    word words work works world would write you young your yourself"""
 
 _YOU = r"(?:you|your|u|ur|yourself|yours|du|dich|dir|dein|deine|tu|te|toi|ton|ta|eres|tu|ti)"
 _FILL = r"(?:(?:are|re|r|is|be|a|an|the|such|so|just|most|total|complete|absolute|utter|real|little|old|bunch|of|and|all|bist|ein|eine|einer|es|un|une|una|eres|pedazo|de|espece|,) )"
