@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -37,12 +37,12 @@ _QUOTED = re.compile("['\"\u2018\u2019\u201c\u201d\u201e\u00ab\u00bb]([\\w$@*#!]
 _MENTION = re.compile(MENTION.replace("\n", ""))
 
 
-def fold(text: str) -> str:
-    """Lower case, full width to plain, no invisible characters, no accents, spaced-out words drawn together."""
+def fold(text: str, cut: Callable[[str], str] = str) -> str:
+    """Lower case, full width to plain, no invisible characters, no accents, spaced-out words drawn together, and cut into words by `cut`."""
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", _UNSEEN.sub("", text)))
     text = text.casefold()
-    return _SPACED.sub(lambda m: m[0].replace(m[1], ""), text)
+    return _SPACED.sub(lambda m: cut(m[0].replace(m[1], "")), text)
 
 
 def _plain(token: str) -> str:
@@ -61,6 +61,8 @@ class Lexicon:
         self.exact = terms | cues()
         plurals = {t + s for t in terms for s in ("s", "es", "n", "en") if len(t) > 3}
         self.known = self.exact | plurals
+        self.terms = terms | plurals
+        self.longest = max(map(len, self.terms))
         self.squeezed = {_REPEAT.sub(r"\1", t): t for t in sorted(self.known, key=len, reverse=True)}
         self.bones: dict[str, str] = {}
         for t in sorted(terms):
@@ -89,7 +91,7 @@ class Lexicon:
         if letters < 2 or len(word) < 4:
             return None
         most = 0 if letters < 3 else 1 if len(word) < 9 else 2
-        near = [(s, t) for s, t in self.trie.near(word, most) if (word[0] in (t[0], "?")) and (s == 0 or len(t) >= 5 or "?" not in word and len(word) == 3)]
+        near = [(s, t) for s, t in self.trie.near(word, most, first=None if word[0] == "?" else word[0]) if (s == 0 or len(t) >= 5 or "?" not in word and len(word) == 3)]
         return near[0] if near else None
 
     def spelled(self, token: str) -> tuple[str, bool]:
@@ -122,11 +124,20 @@ class Lexicon:
                 return t, True
             if (near := self.slips(w)) is not None:
                 return near[1], True
-        for part in (token[1:], token[:-1]):  # a neighbour of one letter that was drawn in with a spaced-out word
-            if len(part) >= 4 and part in self.exact and token[:1] in "iau":
-                return part, True
         return word, False
 
+    def cut(self, drawn: str) -> str:
+        """The terms in letters that were spaced out, longest first from the left, set apart from what is between them."""
+        out, rest, i = [], "", 0
+        while i < len(drawn):
+            term = next((drawn[i : i + n] for n in range(min(self.longest, len(drawn) - i), 3, -1) if drawn[i : i + n] in self.terms), None)
+            if term:
+                out += [rest, term] if rest else [term]
+                rest, i = "", i + len(term)
+            else:
+                rest, i = rest + drawn[i], i + 1
+        return " ".join([*out, rest] if rest else out)
+
     def doubtful(self, word: str) -> bool:
         """Whether only a slip makes a word of plain letters a term; frequent such words are ordinary ones."""
         return word not in self.known and not _RUN.search(word) and self.spelled(word)[1]
@@ -136,7 +147,7 @@ class Lexicon:
         if not text:
             return 0.0, ""
         best = (0.0, "")
-        folded = fold(text)
+        folded = fold(text, self.cut)
         spelled = self.spelled
         fresh = set(_WORDS.findall(folded)) - self.idle
         hits = {w for w in fresh if spelled(w)[1]}

@@ -16,8 +16,11 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = term
 
-    def near(self, token: str, most: int, wildcard: str = "?") -> list[tuple[int, str]]:
-        """(slips, term) for each term within `most` slips of token: a letter changed, dropped, added, or two swapped. A wildcard is any one letter."""
+    def near(self, token: str, most: int, wildcard: str = "?", first: str | None = None) -> list[tuple[int, str]]:
+        """(slips, term) for each term within `most` slips of token: a letter changed, dropped, added, or two swapped. A wildcard is any one letter.
+
+        first: only terms that begin with this letter, whose branch alone is walked.
+        """
         m = len(token)
         masks: dict[str, int] = {}
         anything = 0
@@ -28,7 +31,8 @@ class Trie:
                 masks[c] = masks.get(c, 0) | 1 << i
         start = tuple((1 << (e + 1)) - 1 for e in range(most + 1))  # dropped letters at the front
         found: list[tuple[int, str]] = []
-        stack = [(self.root, start, None, 0)]
+        root = self.root if first is None else {first: self.root[first]} if first in self.root else {}
+        stack = [(root, start, None, 0)]
         while stack:
             node, states, before, seen_before = stack.pop()
             for c, child in node.items():

@@ -43,6 +43,12 @@ def test_fine(text):
     assert abuse.lexicon().score(text)[0] < 0.5
 
 
+def test_spaced_out():
+    lex = abuse.lexicon()
+    assert lex.cut("afuckingcretin") == "a fucking cretin" and lex.cut("hello") == "hello" and lex.cut("") == ""
+    assert lex.score("That man: a f u c k i n g c r e t i n who can't even hold a pen.")[0] >= 0.5
+
+
 def test_frame(spark):
     data = [(1, ABUSE[0], "a", "x"), (1, ABUSE[0], "a", "x"), (2, None, "a", "x"), (3, "", None, "x"), (None, FINE[0], "b", "x"), (4, "word " * 200_000 + ". You are an idiot.", "b", "x")]
     df = spark.createDataFrame(data, "doc_id bigint, text string, source string, score string")
