@@ -109,6 +109,6 @@ def orphan_references(refs: DataFrame, targets: DataFrame, *, period_days: int =
 
 def orphan_counts(orphans: DataFrame, *, unit: str = "month") -> DataFrame:
     """Orphans per table, period of `at` and reason; a NULL moment is its own period."""
-    return orphans.groupBy("table_name", F.date_trunc(unit, "at").alias("period"), "reason").agg(F.count("*").alias("n_rows"), F.countDistinct("key").alias("n_keys"))
+    return orphans.groupBy("table_name", F.date_trunc(unit, "at").cast("timestamp_ntz").alias("period"), "reason").agg(F.count("*").alias("n_rows"), F.countDistinct("key").alias("n_keys"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from takeloom.functions import text, wer
 from takeloom.operators import dyadic, keyed, mixed, ordered, scoring, selection, sequence, stats, timeline, tuning, validate, versions
 from takeloom.plans.core_queries import MEASURES
 from takeloom.session import key, stage_root, table
+from takeloom.sources import files
 from takeloom.streaming import resume
 
 #: FIXED VALUES: flags of measurements that were intervened in heavily, seeds of the passes' orders.
@@ -67,9 +68,7 @@ def duplicate_text_collisions(s: SparkSession, d: str) -> DataFrame:
 def stale_annotations(s: SparkSession, d: str) -> DataFrame:
     """Utterances whose hand annotation is missing or older than their entry in the annotation key."""
     sides = [table(s, d, n).select(key("utt_id").alias("utt_id"), "loaded_at").where("utt_id <> ''").groupBy("utt_id").agg(F.max("loaded_at").alias("loaded_at")) for n in ("annotation_key", "hand_annotation")]
-    from takeloom.sources.files import stale
-
-    return stale(sides[0], sides[1], "utt_id", "loaded_at")
+    return files.stale(sides[0], sides[1], "utt_id", "loaded_at")
 
 
 def dense_item_ids(s: SparkSession, d: str) -> DataFrame:
@@ -488,7 +487,7 @@ def _labelled_proportion(s: SparkSession, d: str) -> DataFrame:
 
 def stream_resume_score(s: SparkSession, d: str) -> DataFrame:
     """Items scored from a stream of their file, then again: the second run finds nothing new."""
-    root = f"{stage_root(s).rstrip('/')}/resume-{next(tempfile._get_candidate_names())}"
+    root = f"{stage_root(s).rstrip('/')}/resume-{uuid.uuid4().hex}"
     schema = "row_id bigint, n_tokens int"
     source = table(s, d, "items").select("row_id", "text")
     feed = f"{root}/in"
