@@ -121,12 +121,23 @@ def packed(df: DataFrame, keys: list[str], order: list[str], duration: str, cap:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(pack, f"{schema}, batch long, batch_offset double")
 
 
-def within_tolerance(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, id_col: str, tolerance: float = 0.005) -> DataFrame:
-    """Rows of left that have a row of right whose both ends lie within tolerance: a band join over buckets as wide as the tolerance."""
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    r = right.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.array(cell(start) - 1, cell(start), cell(start) + 1)).alias("_cell"))
-    near = (F.abs(F.col(start) - F.col("_s")) <= tolerance + 1e-9) & (F.abs(F.col(end) - F.col("_e")) <= tolerance + 1e-9)
-    return left.withColumn("_cell", cell(start)).join(r, [*keys, "_cell"]).where(near).select(*keys, id_col).distinct()
+def within_tolerance(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, id_col: str, tolerance: float = 0.005, other: str | None = None) -> DataFrame:
+    """Rows of left that have a row of right whose both ends lie within tolerance: a band join over cells four times as wide as the tolerance, of both ends.
+
+    other: a column of both sides in which the two rows must differ; NULL is a value of its own. Rows of right with the same ends are one row of the
+    join, with the lowest and highest other, so copies don't multiply.
+    """
+    eps = tolerance + 1e-9
+    cells = lambda c: F.sequence(F.floor((F.col(c) - 1.01 * eps) / (4 * eps)), F.floor((F.col(c) + 1.01 * eps) / (4 * eps)))
+    differ = [F.count("*").alias("_n")] if other is None else [F.min(other).alias("_low"), F.max(other).alias("_high"), F.max(F.col(other).isNull()).alias("_null")]
+    r = right.groupBy(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).agg(*differ)
+    r = r.withColumn("_cell", F.explode(cells("_s"))).withColumn("_cell_end", F.explode(cells("_e")))
+    near = (F.abs(F.col(start) - F.col("_s")) <= eps) & (F.abs(F.col(end) - F.col("_e")) <= eps)
+    if other is not None:
+        mine = F.col(other)
+        near &= F.when(mine.isNull(), F.col("_low").isNotNull()).otherwise(F.col("_null") | (F.col("_low") != mine) | (F.col("_high") != mine))
+    l = left.withColumn("_cell", F.floor(F.col(start) / (4 * eps))).withColumn("_cell_end", F.floor(F.col(end) / (4 * eps)))  # noqa: E741
+    return l.join(r, [*keys, "_cell", "_cell_end"]).where(near).select(*keys, id_col).distinct()
 
 
 def island_runs(df: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:

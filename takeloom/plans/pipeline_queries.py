@@ -235,9 +235,7 @@ def point_in_interval_nearest(s: SparkSession, d: str) -> DataFrame:
 def boundaries_in_tolerance(s: SparkSession, d: str) -> DataFrame:
     """Clips that another clip of the take, with another item, matches at both ends within 5 ms."""
     clips = _timed(s, d)
-    other = clips.select(*TAKE, "start_sec", "end_sec", F.col("seg_id").alias("other_id"))
-    near = timeline.within_tolerance(clips.where("flag = 'ok'"), other.where("other_id % 2 = 0"), TAKE, "start_sec", "end_sec", "seg_id")
-    return near
+    return timeline.within_tolerance(clips.where("flag = 'ok'"), clips, TAKE, "start_sec", "end_sec", "seg_id", other="item_id")
 
 
 def greedy_pack(s: SparkSession, d: str) -> DataFrame:

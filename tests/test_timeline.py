@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from takeloom.operators import timeline
+from takeloom.plans import pipeline_queries
 
+DATA = "/root/testdata/sf0.001"
 CLIP = "k string, id bigint, s double, e double, label string"
 
 
@@ -67,6 +69,22 @@ def test_tolerance(spark, rows):
     assert rows(timeline.within_tolerance(left, right, ["k"], "s", "e", "id")) == [("a", 1)]
 
 
+def test_tolerance_another(spark, rows):
+    """Another item at the same ends, by every pair; ends a tolerance apart across cells, copies and NULL items."""
+    data = [("a", i, 0.005 * k, 0.005 * k + 1.0, item) for i, (k, item) in enumerate([(0, "x"), (1, "x"), (2, "y"), (4, "z"), (4, "z"), (7, None), (8, None), (20, "u"), (21, None), (40, "v"), (40, "w"), (40, "w")])]
+    df = spark.createDataFrame([*data, ("b", 99, 0.0, 1.0, "y")], "k string, id long, s double, e double, item string")
+    want = {(a[0], a[1]) for a in data for b in data if a[4] != b[4] and abs(a[2] - b[2]) <= 0.005 + 1e-9 and abs(a[3] - b[3]) <= 0.005 + 1e-9}
+    assert want == {("a", i) for i in (1, 2, 7, 8, 9, 10, 11)}
+    assert rows(timeline.within_tolerance(df, df, ["k"], "s", "e", "id", other="item")) == sorted(want, key=str)
+
+
+def test_boundaries_query(spark, rows):
+    """Clips with an odd seg_id are partners too, and no clip is its own."""
+    clips = [tuple(r) for r in pipeline_queries._timed(spark, DATA).select("session", "pass", "seg_id", "start_sec", "end_sec", "item_id", "flag").collect()]
+    want = {a[:3] for a in clips for b in clips if a[6] == "ok" and a[:2] == b[:2] and a[5] != b[5] and abs(a[3] - b[3]) <= 0.005 + 1e-9 and abs(a[4] - b[4]) <= 0.005 + 1e-9}
+    assert rows(pipeline_queries.boundaries_in_tolerance(spark, DATA)) == sorted(want, key=str)
+
+
 def test_runs(spark, rows):
     df = spark.createDataFrame([("u", t, t, x) for t, x in enumerate(["a", "a", None, None, "a"])], "k string, t bigint, id bigint, x string")
     assert rows(timeline.island_runs(df, ["k"], ["t", "id"], "x")) == sorted([("u", "a", 0, 1, 2), ("u", None, 2, 3, 2), ("u", "a", 4, 4, 1)], key=str)
