@@ -1,7 +1,9 @@
 """Linear mixed models with two crossed random intercepts, from sufficient statistics gathered in Spark.
 
-y = X b + u[a] + w[c] + e. Only cross-products are collected: the fixed effects' and those per level of the two factors, whose number must be
-within max_levels; rows never are.
+y = X b + u[a] + w[c] + e. The block of the factor with more levels is diagonal: it is eliminated by sums in Spark over its levels of equal row
+count, which hold for every variance ratio, so none of its levels is collected. Of the other factor the sums per level and the level pairs that share
+a level of the first come to the driver, as a sparse matrix: levels with few partners are eliminated one by one, and only the core that is left,
+which must be within max_levels, is solved densely. Rows are never collected. A level of the larger factor with k partners makes k * k pairs.
 """
 
 from __future__ import annotations
@@ -14,51 +16,122 @@ from pyspark.sql import functions as F
 
 from takeloom.operators.stats import clean
 from takeloom.operators.validate import ProblemsFound
+from takeloom.session import stage
 
+#: FIXED VALUE: levels with more partners than this are left to the dense core.
+PARTNERS = 16
 
-def sufficient(df: DataFrame, y: str, x: list[str], factors: tuple[str, str], max_levels: int) -> dict[str, np.ndarray]:
+
+class Elimination:
+    """The order in which levels are eliminated from a symmetric sparse matrix: rounds of levels without a common entry, then a dense core."""
+
+    def __init__(self, n: int, pairs: np.ndarray, max_core: int):
+        near: list[set[int]] = [set() for _ in range(n)]
+        for i, j in pairs.tolist():
+            near[i].add(j)
+            near[j].add(i)
+        self.at: dict[tuple[int, int], int] = {}
+        for i, j in pairs.tolist():
+            self.at[min(i, j), max(i, j)] = n + len(self.at)
+        place = lambda i, j: i if i == j else self.at.setdefault((min(i, j), max(i, j)), n + len(self.at))
+        self.rounds: list[tuple[np.ndarray, ...]] = []
+        left = set(range(n))
+        while left and (least := min(len(near[k]) for k in left)) <= PARTNERS:
+            most, blocked, pivots = min(PARTNERS, 2 * least), set(), []
+            for k in sorted((k for k in left if len(near[k]) <= most), key=lambda k: (len(near[k]), k)):
+                if k not in blocked:
+                    pivots.append(k)
+                    blocked |= near[k]
+            edges = [(k, i, place(k, i)) for k in pivots for i in sorted(near[k])]
+            fills = [(place(i, j), place(k, i), place(k, j), k) for k in pivots for i in near[k] for j in near[k] if i <= j]
+            self.rounds.append((np.array(pivots), np.array(edges, dtype=int).reshape(-1, 3), np.array(fills, dtype=int).reshape(-1, 4)))
+            for k in pivots:
+                for i in near[k]:
+                    near[i] = (near[i] | near[k]) - {i, k}
+                left.discard(k)
+        self.core = np.array(sorted(left), dtype=int)
+        if len(self.core) > max_core:
+            raise ProblemsFound(f"more than {max_core} levels of a factor")
+        rank = {k: r for r, k in enumerate(self.core.tolist())}
+        inside = [(rank[i], rank[j], at) for (i, j), at in self.at.items() if i in rank and j in rank]
+        self.inside = np.array(inside, dtype=int).reshape(-1, 3)
+        self.size = n + len(self.at)
+
+    def solve(self, values: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
+        """right' M^-1 right and log |M| of the matrix whose diagonal and pairs are values."""
+        v, r = values.copy(), right.copy()
+        total, logdet = np.zeros((r.shape[1], r.shape[1])), 0.0
+        for pivots, edges, fills in self.rounds:
+            d, own = v[pivots], r[pivots]
+            logdet += np.log(d).sum()
+            total += own.T @ (own / d[:, None])
+            if len(edges):
+                np.subtract.at(r, edges[:, 1], (v[edges[:, 2]] / v[edges[:, 0]])[:, None] * r[edges[:, 0]])
+                np.subtract.at(v, fills[:, 0], v[fills[:, 1]] * v[fills[:, 2]] / v[fills[:, 3]])
+        if len(self.core):
+            m = np.diag(v[self.core])
+            m[self.inside[:, 0], self.inside[:, 1]] = m[self.inside[:, 1], self.inside[:, 0]] = v[self.inside[:, 2]]
+            chol = np.linalg.cholesky(m)
+            half = np.linalg.solve(chol, r[self.core])
+            total += half.T @ half
+            logdet += 2 * np.log(np.diag(chol)).sum()
+        return total, logdet
+
+
+def sufficient(df: DataFrame, y: str, x: list[str], factors: tuple[str, str], max_levels: int) -> dict:
     a, c = factors
     cols = [F.lit(1.0).alias("one"), *[clean(n).alias(n) for n in x]]
-    rows = df.select(F.col(a).alias("_a"), F.col(c).alias("_c"), *cols, clean(y).alias("_y")).dropna()
+    rows = stage(df.select(F.col(a).alias("_a"), F.col(c).alias("_c"), *cols, clean(y).alias("_y")).dropna(), "model")
     names = ["one", *x, "_y"]
-    levels = [rows.select(f).distinct().limit(max_levels + 1).collect() for f in ("_a", "_c")]
-    if any(len(v) > max_levels for v in levels):
-        raise ProblemsFound(f"more than {max_levels} levels of a factor")
-    index = [{r[0]: i for i, r in enumerate(sorted(v, key=str))} for v in levels]
-    na, nc, p = len(index[0]), len(index[1]), len(names) - 1
-    one = rows.agg(*[F.sum(F.col(m) * F.col(n)).alias(f"{i}_{j}") for i, m in enumerate(names) for j, n in enumerate(names) if i <= j]).first()
-    xx = np.zeros((p + 1, p + 1))
-    for i in range(p + 1):
-        for j in range(i, p + 1):
-            xx[i, j] = xx[j, i] = one[f"{i}_{j}"] or 0.0
-    z = np.zeros((na + nc, p + 1))
-    zz = np.zeros((na + nc, na + nc))
-    for f, at, shift in (("_a", index[0], 0), ("_c", index[1], na)):
-        for r in rows.groupBy(f).agg(F.count("*").alias("n"), *[F.sum(n).alias(f"s{i}") for i, n in enumerate(names)]).collect():
-            k = at[r[f]] + shift
-            z[k] = [r[f"s{i}"] for i in range(p + 1)]
-            zz[k, k] = r["n"]
-    for r in rows.groupBy("_a", "_c").agg(F.count("*").alias("n")).collect():
-        i, j = index[0][r["_a"]], index[1][r["_c"]] + na
-        zz[i, j] = zz[j, i] = r["n"]
-    return {"xx": xx[:p, :p], "xy": xx[:p, p], "yy": xx[p, p], "zx": z[:, :p], "zy": z[:, p], "zz": zz, "na": na, "nc": nc, "n": xx[0, 0]}
+    upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    full = lambda r, name: np.array([[r[f"{name}{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+    one = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"x{i}_{j}") for i, j in upper], F.countDistinct("_a").alias("na"), F.countDistinct("_c").alias("nc")).first()
+    swapped = one["na"] > one["nc"]
+    small, large = ("_c", "_a") if swapped else ("_a", "_c")
+    sums = [F.sum(n).alias(f"s{i}") for i, n in enumerate(names)]
+    each = rows.groupBy(large).agg(F.count("*").alias("n"), *sums)
+    by_n = each.groupBy("n").agg(F.count("*").alias("levels"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"q{i}_{j}") for i, j in upper]).collect()
+    index_n = {r["n"]: k for k, r in enumerate(by_n)}
+    levels = rows.groupBy(small).agg(F.count("*").alias("n"), *sums).toPandas().sort_values(small, key=lambda s: s.astype(str))
+    index = {v: k for k, v in enumerate(levels[small])}
+    met = rows.groupBy(small, large).agg(F.count("*").alias("m")).join(each, large)
+    crossed = met.groupBy(small, "n").agg(F.sum(F.col("m") * F.col("m")).alias("mm"), *[F.sum(F.col("m") * F.col(f"s{i}")).alias(f"b{i}") for i in range(len(names))]).toPandas()
+    two = met.select(large, "n", F.col(small).alias("_i"), F.col("m").alias("_m")).join(met.select(large, F.col(small).alias("_j"), F.col("m").alias("_k")), large).where("_i < _j")
+    pairs = two.groupBy("_i", "_j", "n").agg(F.sum(F.col("_m") * F.col("_k")).alias("mm")).toPandas()
+    at = np.column_stack([pairs["_i"].map(index), pairs["_j"].map(index)]).astype(int).reshape(-1, 2)
+    order = Elimination(len(index), np.unique(np.sort(at, axis=1), axis=0), max_levels)
+    place = np.array([order.at[min(i, j), max(i, j)] for i, j in at.tolist()], dtype=int)
+    where = crossed[small].map(index).to_numpy(dtype=int)
+    return {
+        "xx": full(one, "x"), "n": one["x0_0"] or 0.0, "swapped": swapped, "order": order, "sizes": np.array([r["n"] for r in by_n], dtype=float), "levels": np.array([r["levels"] for r in by_n], dtype=float),
+        "q": np.array([full(r, "q") for r in by_n]).reshape(-1, len(names), len(names)), "own": levels["n"].to_numpy(dtype=float), "zx": levels[[f"s{i}" for i in range(len(names))]].to_numpy(dtype=float), "where": where, "class": crossed["n"].map(index_n).to_numpy(dtype=int),
+        "mm": crossed["mm"].to_numpy(dtype=float), "b": crossed[[f"b{i}" for i in range(len(names))]].to_numpy(dtype=float), "place": place, "pair_class": pairs["n"].map(index_n).to_numpy(dtype=int), "pair_mm": pairs["mm"].to_numpy(dtype=float),
+    }
 
 
 def _reml(s: dict, log_ratio: np.ndarray) -> tuple[float, dict]:
     """Restricted log-likelihood profiled over b and the residual variance, at log variance ratios of the two factors (-inf: none)."""
     ratio = np.exp(log_ratio)
-    d = np.concatenate([np.full(s["na"], ratio[0]), np.full(s["nc"], ratio[1])])
-    root = np.sqrt(d)
-    m = np.eye(len(d)) + root[:, None] * s["zz"] * root[None, :]
-    chol = np.linalg.cholesky(m)
-    half = np.linalg.solve(chol, root[:, None] * np.column_stack([s["zx"], s["zy"]]))
-    p = s["xx"].shape[0]
-    xvx, xvy, yvy = s["xx"] - half[:, :p].T @ half[:, :p], s["xy"] - half[:, :p].T @ half[:, p], s["yy"] - half[:, p] @ half[:, p]
+    own, other = ratio[::-1] if s["swapped"] else ratio
+    w = other / (1 + other * s["sizes"])
+    xx = s["xx"] - np.tensordot(w, s["q"], 1)
+    z = s["zx"].copy()
+    np.subtract.at(z, s["where"], w[s["class"], None] * s["b"])
+    values = np.zeros(s["order"].size)
+    values[: len(s["own"])] = s["own"]
+    np.subtract.at(values, s["where"], w[s["class"]] * s["mm"])
+    np.subtract.at(values, s["place"], w[s["pair_class"]] * s["pair_mm"])
+    values *= own
+    values[: len(s["own"])] += 1
+    less, logdet = s["order"].solve(values, math.sqrt(own) * z)
+    v = xx - less
+    p = len(v) - 1
+    xvx, xvy, yvy = v[:p, :p], v[:p, p], v[p, p]
     b = np.linalg.solve(xvx, xvy)
     rss = yvy - xvy @ b
     dof = s["n"] - p
     sigma2 = rss / dof
-    value = -0.5 * (dof * (math.log(2 * math.pi * sigma2) + 1) + 2 * np.log(np.diag(chol)).sum() + np.linalg.slogdet(xvx)[1])
+    value = -0.5 * (dof * (math.log(2 * math.pi * sigma2) + 1) + logdet + (s["levels"] * np.log1p(other * s["sizes"])).sum() + np.linalg.slogdet(xvx)[1])
     return value, {"b": b, "cov": np.linalg.inv(xvx) * sigma2, "sigma2": sigma2, "ratio": ratio}
 
 

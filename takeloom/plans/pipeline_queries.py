@@ -472,15 +472,15 @@ def value_percentiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def mixed_model_crossed(s: SparkSession, d: str) -> DataFrame:
-    """Hand-annotated creak on ratio and jitter, with intercepts per session and per item, levels bounded."""
+    """Hand-annotated creak on ratio and jitter, with intercepts per session and per item."""
     rows = _labelled_proportion(s, d)
-    return mixed.fit(rows, "hand_creak_proportion", ["shr_median", "jitter_local_pct"], ("session_group", "item_group"))
+    return mixed.fit(rows, "hand_creak_proportion", ["shr_median", "jitter_local_pct"], ("session", "item_id"))
 
 
 def _labelled_proportion(s: SparkSession, d: str) -> DataFrame:
     hand = _hand(s, d).select("utt_id", stats.clean("hand_creak_proportion").alias("hand_creak_proportion"))
     rows = keyed.parse_key(_acoustics(s, d).drop("pass").join(hand, "utt_id"), "utt_id", r"^([^_]+)_(.+)_([cdf]\d{3,})$").where("parsed")
-    return rows.select("hand_creak_proportion", "shr_median", "jitter_local_pct", F.pmod(F.xxhash64("session"), F.lit(300)).alias("session_group"), F.pmod(F.xxhash64("item_id"), F.lit(300)).alias("item_group"))
+    return rows.select("hand_creak_proportion", "shr_median", "jitter_local_pct", "session", "item_id")
 
 
 def stream_resume_score(s: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from takeloom.operators import mixed, stats, tuning, versions
 from takeloom.operators.validate import ProblemsFound
+from takeloom.plans import pipeline_queries
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [
@@ -108,6 +109,41 @@ def test_mixed_model(spark):
         mixed.fit(df, "y", ["x"], ("item", "session"), max_levels=10)
 
 
+@pytest.mark.parametrize(("left", "right"), [(120, 2600), (2600, 120), (40, 30), (1, 5)])
+def test_mixed_model_dense(spark, left, right):
+    """The restricted likelihood and estimates equal those of the whole covariance matrix, for levels linked sparsely and densely."""
+    rng = np.random.default_rng(7)
+    n = 900
+    i, s = rng.integers(0, left, n), rng.integers(0, right, n)
+    if right == 2600:
+        s[:800] = np.arange(800)  # most items once, the rest link sessions
+    x = rng.normal(size=n)
+    y = 1.0 + 0.5 * x + rng.normal(size=left)[i] + rng.normal(size=right)[s] + rng.normal(size=n)
+    df = spark.createDataFrame([(float(a), float(b), f"i{c}", f"s{d}") for a, b, c, d in zip(y, x, i, s, strict=True)], "y double, x double, item string, session string")
+    have = mixed.sufficient(df, "y", ["x"], ("item", "session"), 2_000)
+    za, zc, fixed = np.eye(left)[i], np.eye(right)[s], np.column_stack([np.ones(n), x])
+    for log_ratio in ([-2.0, -2.0], [1.0, -3.0], [-16.0, 0.5]):
+        ra, rc = np.exp(log_ratio)
+        v = np.eye(n) + ra * za @ za.T + rc * zc @ zc.T
+        vx = np.linalg.solve(v, fixed)
+        b = np.linalg.solve(fixed.T @ vx, vx.T @ y)
+        e = y - fixed @ b
+        sigma2 = e @ np.linalg.solve(v, e) / (n - 2)
+        want = -0.5 * ((n - 2) * (math.log(2 * math.pi * sigma2) + 1) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(fixed.T @ vx)[1])
+        value, got = mixed._reml(have, np.array(log_ratio))
+        assert value == pytest.approx(want) and got["b"] == pytest.approx(b) and got["sigma2"] == pytest.approx(sigma2)
+        assert got["cov"] == pytest.approx(np.linalg.inv(fixed.T @ vx) * sigma2)
+
+
+def test_mixed_model_levels(spark):
+    """One factor may have more levels than max_levels, and the query fits sessions and items as they are."""
+    df = spark.range(6_000).selectExpr("rand(1) as y", "rand(2) as x", "cast(rand(3) * 40 as int) as session", "id div 2 as item")
+    assert {r.term for r in mixed.fit(df, "y", ["x"], ("session", "item")).collect()} == {"intercept", "x", "var(session)", "var(item)", "var(residual)"}
+    rows = pipeline_queries._labelled_proportion(spark, "/root/testdata/sf0.01")
+    assert {"session", "item_id"} <= set(rows.columns) and rows.select("item_id").distinct().count() > 200
+    assert {"var(session)", "var(item_id)"} < {r.term for r in pipeline_queries.mixed_model_crossed(spark, "/root/testdata/sf0.001").collect()}
+
+
 def test_precision(spark):
     df = spark.createDataFrame([("a", True, True), ("a", False, True), ("b", False, False), ("b", None, True)], "g string, t boolean, p boolean")
     got = {r.g: (r.precision, r.recall, round(r.f1, 6), r.n) for r in tuning.precision_recall(df, ["g"], F.col("t"), F.col("p")).collect()}
