@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from takeloom.llm.automaton import Trie
-from takeloom.llm.lexicon import COMMON, MENTION, PHRASES, TERMS, cues, literals
+from takeloom.llm.lexicon import COMMON, MENTION, PHRASES, TERMS, cues, gate
 
 #: FIXED VALUES: look-alikes of Latin letters, digits and signs used as letters, vowels.
 LOOKALIKE = dict(zip("\u0430\u0432\u0441\u0501\u0435\u04bb\u0456\u0458\u04cf\u043a\u043c\u043d\u043e\u0440\u051b\u0455\u0442\u0438\u0445\u0443\u0475\u0461\u03b1\u03b2\u03b5\u03b9\u03ba\u03bd\u03bf\u03c1\u03c4\u03c5\u03c7", "abcdehijlkmhopqstuxyvwabeiknoptux", strict=True))
@@ -58,7 +58,8 @@ class Lexicon:
     def __init__(self, ordinary: frozenset[str] = frozenset()):
         classes = {name: words.split() for name, words in TERMS.items()}
         terms = {t for words in classes.values() for t in words}
-        self.exact = terms | cues()
+        gates = [gate(p) for p, _ in PHRASES]
+        self.exact = terms | cues() | {w for g in gates for w in g if w[0] != "{"}
         plurals = {t + s for t in terms for s in ("s", "es", "n", "en") if len(t) > 3}
         self.known = self.exact | plurals
         self.terms = terms | plurals
@@ -77,11 +78,11 @@ class Lexicon:
         self.idle: set[str] = set()
         alternatives = {name: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")(?:s|es|n|en)?" for name, words in classes.items()}
         self.phrases = [(re.compile(re.sub(r"\{([A-Z]+)\}", lambda m: alternatives[m[1]], p)), w) for p, w in PHRASES]
-        #: Which phrases a word can be part of.
+        #: Which phrases a word is a gate of: every match of a phrase holds one of its gates.
         self.part_of: dict[str, set[int]] = {}
-        for k, (p, _) in enumerate(PHRASES):
-            own = {t for name in re.findall(r"\{([A-Z]+)\}", p) for t in classes[name]}
-            for w in literals(p) | own | {t + s for t in own for s in ("s", "es", "n", "en")}:
+        for k, g in enumerate(gates):
+            own = {t for name in g if name[0] == "{" for t in classes[name.strip("{}")]}
+            for w in {w for w in g if w[0] != "{"} | own | {t + s for t in own for s in ("s", "es", "n", "en")}:
                 self.part_of.setdefault(w, set()).add(k)
         self.words_of = re.compile(r"\b(?:" + "|".join(alternatives[n] for n in ("INS", "WEAK", "ADJ", "PRIVATE")) + r")\b")
 
@@ -150,7 +151,7 @@ class Lexicon:
         folded = fold(text, self.cut)
         spelled = self.spelled
         fresh = set(_WORDS.findall(folded)) - self.idle
-        hits = {w for w in fresh if spelled(w)[1]}
+        hits = {w for w in fresh if spelled(w)[0] in self.part_of}
         if len(self.idle) > 1_000_000:
             self.idle.clear()
         self.idle |= fresh - hits
@@ -164,9 +165,8 @@ class Lexicon:
                 if len(t) == 1 and t in ",:;\u2013\u2014" or t == "--":
                     said.append(",")
                     continue
-                w, hit = spelled(t)
-                if hit:
-                    phrases |= self.part_of.get(w, set())
+                w = spelled(t)[0]
+                phrases |= self.part_of.get(w, set())
                 said.append(w)
             if phrases:
                 score, what = self.sentence(" ".join(said), sentence, phrases)

@@ -5,6 +5,9 @@ class, and each has the weight it lends to the sentence it is found in.
 """
 
 import re
+from functools import lru_cache
+from re import _constants as sre
+from re import _parser as parser
 
 TERMS: dict[str, str] = {
     # insults on their own
@@ -35,7 +38,7 @@ TERMS: dict[str, str] = {
         ficken follarte baiser suce chupame""",
 }
 
-#: Words too common to make a text worth a close look.
+#: Common words: no misspelled terms, and a phrase is looked for by another word of it where it has one.
 COMMON = """
     about air alive all alle allowed and annotator any anyone are arms around assistant ate back bed beneath best better bist blas boss bring but can
     clip clips coder colleague com come complete completely coordinator could count cut das dead den der des dich die dir director doch does dog don
@@ -176,3 +179,98 @@ def literals(pattern: str) -> set[str]:
 def cues() -> set[str]:
     """The words of all phrases; a text is looked at closely only if it holds one of these or a term."""
     return set().union(*(literals(p) for p, _ in PHRASES))
+
+
+#: FIXED VALUE: strings of a phrase held at once when its gate is sought; beyond, a part counts as any text.
+STRINGS = 4_000
+#: FIXED VALUE: the most frequent of the common words, gates only where nothing else stands.
+FREQUENT = set("all and are be for from have just not off should such that the their them they this will with would you your was where what when who can".split())
+_ANY = "\x02"  # any text
+_EDGE = "\x01"  # a word boundary
+
+
+def _words(strings: set[str]) -> frozenset[str] | None:
+    """A whole word of each string, as rare as can be; None if a string has none for sure."""
+    common, out = set(COMMON.split()), set()
+    for s in strings:
+        own = []
+        for w in re.split(f"[ ,{_EDGE}]+", _ANY + s + _ANY):
+            if m := re.search(r"\{[A-Z]+\}", w):
+                own.append(m[0])
+            elif _ANY not in w and len(w) > 1:
+                own.append(w)
+        if not own:
+            return None
+        out.add(min(own, key=lambda w: (w in common, w in FREQUENT, -len(w), w)))
+    return frozenset(out)
+
+
+def _better(*gates: frozenset[str] | None) -> frozenset[str] | None:
+    common = set(COMMON.split())
+    return min((g for g in gates if g), key=lambda g: (len(g & FREQUENT), len(g & common), len(g)), default=None)
+
+
+def _repeated(strings: set[str] | None, gate: frozenset[str] | None, low: int, high: int) -> tuple[set[str] | None, frozenset[str] | None]:
+    if strings is None:
+        return (None, gate) if low else ({"", _ANY}, None)
+    if high <= 3 and len(strings) ** high <= STRINGS:
+        out, power = set() if low else {""}, {""}
+        for k in range(1, high + 1):
+            power = {a + b for a in power for b in strings}
+            if k >= low:
+                out |= power
+        return out, None
+    more = _ANY + " " if all(s.endswith(" ") for s in strings) else _ANY
+    if not low:
+        return {"", " " + _ANY if all(s.startswith(" ") for s in strings) else more}, None
+    return strings | {more + s for s in strings}, None
+
+
+def _expand(tree: list, names: dict[str, str]) -> tuple[set[str] | None, frozenset[str] | None]:
+    """The strings that a part of a phrase matches, or, where they are too many, None and its gate."""
+    run, gate, broken = {""}, None, False
+    for op, arg in tree:
+        own: frozenset[str] | None = None
+        if op is sre.LITERAL:
+            now = {names.get(chr(arg), chr(arg))}
+        elif op is sre.AT:
+            now = {_EDGE}
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
+            now = {names.get(chr(c), chr(c)) for _, c in arg}
+        elif op is sre.SUBPATTERN:
+            now, own = _expand(arg[-1], names)
+        elif op is sre.BRANCH:
+            each = [_expand(b, names) for b in arg[1]]
+            if all(s is not None for s, _ in each):
+                now = set().union(*(s for s, _ in each))
+            else:
+                gates = [g if s is None else _words({_ANY + x + _ANY for x in s}) for s, g in each]
+                now, own = None, frozenset().union(*gates) if all(gates) else None
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            now, own = _repeated(*_expand(arg[2], names), arg[0], arg[1])
+        elif op in (sre.ASSERT, sre.ASSERT_NOT):
+            now = {""}
+        else:
+            now = {_ANY}
+        if now is None or len(run) * len(now) > STRINGS:
+            gate, broken = _better(gate, own, _words({r + _ANY for r in run})), True
+            run = {_ANY} if now is None else {_ANY + s for s in now}
+        else:
+            run = {a + b for a in run for b in now}
+    return (None, _better(gate, _words(run))) if broken else (run, None)
+
+
+@lru_cache(maxsize=None)
+def gate(pattern: str) -> frozenset[str]:
+    """Words of which every match of a phrase holds one, common or not; {NAME} for any term of a class."""
+    names: dict[str, str] = {}
+
+    def mark(m: re.Match) -> str:
+        names[chr(0xE000 + len(names))] = m[0]
+        return chr(0xE000 + len(names) - 1)
+
+    strings, found = _expand(list(parser.parse(re.sub(r"\{[A-Z]+\}", mark, pattern))), names)
+    found = found if strings is None else _words(strings)
+    if not found:
+        raise ValueError(f"no word stands in every match of {pattern}")
+    return found

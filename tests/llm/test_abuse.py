@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import itertools
+import random
+from re import _constants as sre
+from re import _parser as parser
 
 import pytest
 
 from takeloom.llm import abuse
 from takeloom.llm.automaton import Trie
+from takeloom.llm.lexicon import PHRASES, TERMS
 
 
 def slips(a, b):
@@ -76,3 +80,42 @@ def test_held_out_accuracy(spark):
     rows = abuse.abuse_scores(docs).join(labels, "doc_id").where("share <> 0.5").collect()
     right = sum((r.score >= 0.5) == (r.share > 0.5) for r in rows)
     assert right / len(rows) > 0.9
+
+
+def said(rng, tree):
+    """A text that a phrase matches, each alternative as likely."""
+    out = ""
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            out += chr(arg)
+        elif op is sre.IN:
+            out += "lo" if arg[0][0] is not sre.LITERAL else chr(rng.choice(arg)[1])
+        elif op is sre.SUBPATTERN:
+            out += said(rng, arg[-1])
+        elif op is sre.BRANCH:
+            out += said(rng, rng.choice(arg[1]))
+        elif op is sre.MAX_REPEAT:
+            out += "".join(said(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif op is sre.ANY:
+            out += " "
+    return out
+
+
+def test_every_alternative_fires():
+    rng, lex = random.Random(8), abuse.lexicon()
+    for k, (pattern, weight) in enumerate(PHRASES):
+        for _ in range(150):
+            filled = pattern
+            for name, terms in TERMS.items():
+                filled = filled.replace("{" + name + "}", rng.choice(terms.split()))
+            text = said(rng, parser.parse(filled))
+            line = " ".join(text.split())
+            if not lex.phrases[k][0].search(line):
+                continue  # a look-ahead forbids it
+            assert any(k in lex.part_of.get(w, ()) for w in line.split()), (pattern, line)
+            assert lex.score(line)[0] >= 0.3 * weight - 1e-9, (pattern, line)
+
+
+@pytest.mark.parametrize("text", ["The world would be better without you", "go die", "just die", "cut yourself", "off yourself", "cut your throat", "I know where you work", "bring dich um", "the lab would be better without them", "put them all down", "more sense than you"])
+def test_common_words_fire(text):
+    assert abuse.lexicon().score(text)[0] >= 0.5
