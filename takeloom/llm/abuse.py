@@ -23,6 +23,10 @@ LOOKALIKE = dict(zip("\u0430\u0432\u0441\u0501\u0435\u04bb\u0456\u0458\u04cf\u04
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "*": "?", "#": "?", "_": "?"}
 VOWELS = "aeiou"
 
+#: FIXED VALUES: words that two swapped letters make of a term but that are words themselves, and other spellings of the commonest term.
+SWAPPED_WORDS = set("beta else viel toda pron unde coon else form from brun sael".split())
+SPELLINGS = {"fuk": "fuck", "phuck": "fuck", "phuk": "fuck", "fuking": "fucking", "phucking": "fucking"}
+
 _UNSEEN = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u3164\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-*_/])(?:[^\W_]\1)+[^\W_](?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|[\n\r\u0085\u2028\u2029]+")
@@ -71,6 +75,13 @@ class Lexicon:
             if len(bone) >= 3 and bone != t:
                 self.bones.setdefault(bone, t)
         self.bones |= {"fck": "fuck", "fcking": "fucking", "kll": "kill", "dck": "dick", "cck": "cock", "sx": "sex"}
+        #: Terms of four letters with any two neighbours swapped, longer ones with the first two.
+        self.swapped = dict(SPELLINGS)
+        for t in sorted(terms):
+            for i in range(len(t) - 1 if len(t) == 4 else 1 if len(t) > 4 else 0):
+                slip = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+                if slip not in self.known and slip not in SWAPPED_WORDS:
+                    self.swapped.setdefault(slip, t)
         self.trie = Trie({t for t in self.exact if len(t) >= (4 if t in terms else 7)})
         self.ordinary = ordinary | set(COMMON.split())
         self.cache: dict[str, tuple[str, bool]] = {}
@@ -123,6 +134,8 @@ class Lexicon:
                 continue
             if len(w) >= 3 and "?" not in w and not set(w) & set(VOWELS + "y") and (t := self.bones.get(w)):
                 return t, True
+            if (t := self.swapped.get(w)) is not None:
+                return t, True
             if (near := self.slips(w)) is not None:
                 return near[1], True
         return word, False

@@ -119,3 +119,12 @@ def test_every_alternative_fires():
 @pytest.mark.parametrize("text", ["The world would be better without you", "go die", "just die", "cut yourself", "off yourself", "cut your throat", "I know where you work", "bring dich um", "the lab would be better without them", "put them all down", "more sense than you"])
 def test_common_words_fire(text):
     assert abuse.lexicon().score(text)[0] >= 0.5
+
+
+@pytest.mark.parametrize("word", ["fcuk", "fukc", "fuk", "phuck", "cnut", "dcik", "ibtch", "diiot", "omron"])
+def test_swapped_letters(word):
+    term = {"fcuk": "fuck", "fukc": "fuck", "fuk": "fuck", "phuck": "fuck", "cnut": "cunt", "dcik": "dick", "ibtch": "bitch", "diiot": "idiot", "omron": "moron"}[word]
+    lex = abuse.lexicon()
+    assert lex.spelled(word) == (term, True)
+    line = f"{word} you" if term == "fuck" else f"suck my {word}" if term == "dick" else f"You are a {word}"
+    assert lex.score(line)[0] >= 0.5
