@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha1
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -200,7 +201,7 @@ class Lexicon:
         return 1 - left, "; ".join(what)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def lexicon(ordinary: frozenset[str] = frozenset()) -> Lexicon:
     return Lexicon(ordinary)
 
@@ -208,7 +209,8 @@ def lexicon(ordinary: frozenset[str] = frozenset()) -> Lexicon:
 def ordinary_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 5e-4, least: int = 5) -> frozenset[str]:
     """Words one slip away from a term that stand in at least `share` of all documents (and `least` of them): words of their own, not misspelled terms.
 
-    Counted over all whole texts. Only words near a term of the fixed lexicon and above the share come back, so their number is bounded by the
+    A frequent slip stays a term if half or more of the distinct sentences with it are insults when it is read as the term and not when it is read as
+    a word, so copies and spam can't make their spelling ordinary. Counted over all whole texts. Only words near a term of the fixed lexicon and above the share come back, so their number is bounded by the
     words a document has divided by the share.
     """
 
@@ -230,7 +232,25 @@ def ordinary_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     counts = docs.select(text_col).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = F.max(F.when(F.col("word") == "", F.col("n")))
     n = counts.agg(total.alias("n")).first()["n"] or 0
-    return frozenset(r["word"] for r in counts.where((F.col("n") >= max(least, share * n)) & (F.col("word") != "")).collect())
+    frequent = frozenset(r["word"] for r in counts.where((F.col("n") >= max(least, share * n)) & (F.col("word") != "")).collect())
+    if not frequent:
+        return frequent
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        as_term, as_word = lexicon(), lexicon(frequent)
+        for pdf in frames:
+            seen: dict[tuple[str, str], int] = {}
+            for text in pdf[text_col]:
+                if text and frequent & set(_LONG.findall(folded := fold(text, as_term.cut))):
+                    for sentence in _SENTENCE.split(folded):
+                        for w in frequent & set(_LONG.findall(sentence)):
+                            if (w, key := sha1(sentence.encode(errors="replace")).hexdigest()[:16]) not in seen:
+                                seen[w, key] = int(as_term.score(sentence)[0] >= 0.5 > as_word.score(sentence)[0])
+            yield pd.DataFrame({"word": [w for w, _ in seen], "sentence": [k for _, k in seen], "insult": list(seen.values())}).astype({"word": str, "sentence": str, "insult": "int64"})
+
+    distinct = docs.select(text_col).mapInPandas(placed, "word string, sentence string, insult long").groupBy("word", "sentence").agg(F.max("insult").alias("insult"))
+    meant = distinct.groupBy("word").agg(F.avg("insult").alias("share")).where("share >= 0.5")
+    return frequent - {r["word"] for r in meant.collect()}
 
 
 def abuse_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 5e-4) -> DataFrame:

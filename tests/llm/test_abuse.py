@@ -128,3 +128,13 @@ def test_swapped_letters(word):
     assert lex.spelled(word) == (term, True)
     line = f"{word} you" if term == "fuck" else f"suck my {word}" if term == "dick" else f"You are a {word}"
     assert lex.score(line)[0] >= 0.5
+
+
+def test_frequent_insult_is_no_ordinary_word(spark):
+    """Copies of an insult don't make its spelling a word; a word that stands elsewhere is one."""
+    data = [(i, "You are a mroon!" if i % 3 == 0 else f"The whoel batch number {i} of the tapes is short.") for i in range(60)] + [(99, "Get lost, you mroon.")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    words = abuse.ordinary_words(df)
+    assert "batch" in words and "mroon" not in words
+    found = {r.doc_id for r in abuse.abuse_scores(df).where("score >= 0.5").collect()}
+    assert found == {i for i, t in data if "mroon" in t}
