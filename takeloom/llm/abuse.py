@@ -253,25 +253,30 @@ def ordinary_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return frequent - {r["word"] for r in meant.collect()}
 
 
-def abuse_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 5e-4) -> DataFrame:
-    """Rows (id_col, score, evidence) of every row: score from 0 to 1, evidence the words that made it.
+def abuse_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 5e-4, source: str | None = None) -> DataFrame:
+    """Rows (id_col, score, evidence) of every row, and source if one is named: score from 0 to 1, evidence the words that made it.
 
     NULL, empty and blank texts score 0, repeated rows each get theirs, a NULL id keeps its row, an empty table gives no rows; other columns are ignored. Whole
     texts are read, of any length; nothing is shuffled but the counts of doubtful words.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = [id_col] if source is None else [id_col, source]
     ordinary = ordinary_words(docs, id_col=id_col, text_col=text_col, share=share)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = lexicon(ordinary)
         for pdf in frames:
             scored = [lex.score(t) for t in pdf[text_col]]
-            yield pd.DataFrame({id_col: pdf[id_col], "score": [round(s, 4) for s, _ in scored], "evidence": [w for _, w in scored]})
+            yield pd.DataFrame({**{c: pdf[c] for c in own}, "score": [round(s, 4) for s, _ in scored], "evidence": [w for _, w in scored]})
 
-    return docs.select(id_col, text_col).mapInPandas(score, f"`{id_col}` {kind}, score double, evidence string")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return docs.select(*own, text_col).mapInPandas(score, f"{schema}, score double, evidence string")
 
 
 def abuse_rates(docs: DataFrame, scores: DataFrame, *, id_col: str = "doc_id", source: str = "source", threshold: float = 0.5) -> DataFrame:
-    """Documents, abusive documents and their share per source; a NULL source is one of its own."""
+    """Documents, abusive documents and their share per source; a NULL source is one of its own.
+
+    Scores that carry their source count as they are, each row once; others get theirs from docs by an id that must be unique and not NULL.
+    """
     flag = (F.col("score") >= threshold).cast("int")
-    return docs.select(id_col, source).join(scores, id_col).groupBy(source).agg(F.count("*").alias("n_docs"), F.sum(flag).alias("n_abusive"), F.avg(flag).alias("rate"))
+    rows = scores if source in scores.columns else docs.select(id_col, source).join(scores, id_col)
+    return rows.groupBy(source).agg(F.count("*").alias("n_docs"), F.sum(flag).alias("n_abusive"), F.avg(flag).alias("rate"))

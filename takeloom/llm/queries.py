@@ -64,7 +64,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return abuse.abuse_rates(docs, abuse.abuse_scores(docs), threshold=ABUSIVE)
+    return abuse.abuse_rates(docs, abuse.abuse_scores(docs, source="source"), threshold=ABUSIVE)
 
 
 QUERIES = {"p2_found": p2_found, "p2_quotas": p2_quotas, "p2_sample": p2_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removal": p7_removal, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}

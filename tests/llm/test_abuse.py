@@ -7,7 +7,7 @@ from re import _parser as parser
 
 import pytest
 
-from takeloom.llm import abuse
+from takeloom.llm import abuse, queries
 from takeloom.llm.automaton import Trie
 from takeloom.llm.lexicon import PHRASES, TERMS
 
@@ -138,3 +138,10 @@ def test_frequent_insult_is_no_ordinary_word(spark):
     assert "batch" in words and "mroon" not in words
     found = {r.doc_id for r in abuse.abuse_scores(df).where("score >= 0.5").collect()}
     assert found == {i for i, t in data if "mroon" in t}
+
+
+def test_rates_query_counts_each_row_once(spark, tmp_path):
+    data = [(1, ABUSE[0], "a"), (1, FINE[0], "a"), (1, FINE[0], "b"), (None, ABUSE[0], "a"), (None, "", None)]
+    spark.createDataFrame(data, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rates = {r.source: (r.n_docs, r.n_abusive) for r in queries.p8_rates(spark, str(tmp_path)).collect()}
+    assert rates == {"a": (3, 2), "b": (1, 0), None: (1, 0)}
