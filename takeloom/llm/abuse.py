@@ -1,53 +1,76 @@
 """Abusive, hateful or sexual content: misspelled terms by Levenshtein automata over a lexicon trie, then scores of the words around them.
 
 Every token is brought to the term it spells (letters replaced by look-alikes, digits or signs, drawn out, spaced out, dropped or swapped); each
-sentence with a term or cue is scored by the phrases it holds, and less where it speaks about words instead of using them.
+sentence with a term or cue is scored by the phrases it holds, and less where it speaks about words instead of using them. A word that a public
+tokenizer holds as one token is a word of its own and never a misspelled term, so a text's score depends on that text alone.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from hashlib import sha1
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from takeloom.llm.automaton import Trie
-from takeloom.llm.lexicon import COMMON, MENTION, PHRASES, TERMS, cues, gate
+from takeloom.llm.lexicon import ANIMALS, COMMON, MENTION, NEAR_WORDS, PHRASES, TERMS, cues, gate
 
 #: FIXED VALUES: look-alikes of Latin letters, digits and signs used as letters, vowels.
 LOOKALIKE = dict(zip("\u0430\u0432\u0441\u0501\u0435\u04bb\u0456\u0458\u04cf\u043a\u043c\u043d\u043e\u0440\u051b\u0455\u0442\u0438\u0445\u0443\u0475\u0461\u03b1\u03b2\u03b5\u03b9\u03ba\u03bd\u03bf\u03c1\u03c4\u03c5\u03c7", "abcdehijlkmhopqstuxyvwabeiknoptux", strict=True))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "*": "?", "#": "?", "_": "?"}
 VOWELS = "aeiou"
 
-#: FIXED VALUES: words that two swapped letters make of a term but that are words themselves, and other spellings of the commonest term.
-SWAPPED_WORDS = set("beta else viel toda pron unde coon else form from brun sael".split())
-SPELLINGS = {"fuk": "fuck", "phuck": "fuck", "phuk": "fuck", "fuking": "fucking", "phucking": "fucking"}
+#: FIXED VALUES: other spellings of the commonest terms.
+SPELLINGS = {"fuk": "fuck", "fuks": "fuck", "fuking": "fucking", "fukin": "fucking", "fkn": "fucking", "biatch": "bitch", "kunt": "cunt", "azz": "ass", "azzhole": "asshole"}
+#: Folder of the vocabulary files, a parameter as for the tokens, and the files read as lists of words.
+FOLDER = os.environ.get("TAKELOOM_TOKENIZERS", "/opt/tokenizers")
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
 _UNSEEN = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u3164\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-*_/])(?:[^\W_]\1)+[^\W_](?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|[\n\r\u0085\u2028\u2029]+")
+#: A line that goes on in small letters on the next one, as in mails, quoted or not.
+_WRAPPED = re.compile(r"(?<=[a-z,])[ \t]*\r?\n[ \t>]*(?=[a-z])")
 _WORD = r"[\w$@*#]+(?:!+[\w$@*#]+)*"
 _WORDS = re.compile(_WORD)
 _TOKEN = re.compile(r"[,:;]|--|[\u2013\u2014]|" + _WORD)
-_LONG = re.compile(r"\b[a-z]{4,}\b", re.ASCII)
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _RUN = re.compile(r"(.)\1{2,}")
 _REPEAT = re.compile(r"(.)\1+")
 _QUOTED = re.compile("['\"\u2018\u2019\u201c\u201d\u201e\u00ab\u00bb]([\\w$@*#!]+(?: [\\w$@*#!]+){0,2})['\"\u2018\u2019\u201c\u201d\u00ab\u00bb](?!\\w)")
 _MENTION = re.compile(MENTION.replace("\n", ""))
+_ANIMALS = re.compile(ANIMALS)
+_ANIMAL_TERMS = re.compile(r"\b(?:bitch(?:es)?|cocks?|ass(?:es)?|puss(?:y|ies)|sau|zorra|perra)\b")
+
+
+@lru_cache(maxsize=4)
+def real_words(folder: str = FOLDER) -> frozenset[str]:
+    """Words that a public tokenizer holds as one token with the blank before them, in small letters."""
+    out = set(NEAR_WORDS.split()) | set(COMMON.split())
+    for name in VOCABULARIES:
+        for line in (Path(folder) / name).read_bytes().splitlines():
+            token = base64.b64decode(line.split()[0])
+            if token[:1] == b" " and len(token) > 3:
+                word = token[1:].decode(errors="ignore").casefold()
+                if word.isalpha():
+                    out.add(_MARKS.sub("", unicodedata.normalize("NFKD", word)))
+    return frozenset(out)
 
 
 def fold(text: str, cut: Callable[[str], str] = str) -> str:
-    """Lower case, full width to plain, no invisible characters, no accents, spaced-out words drawn together, and cut into words by `cut`."""
+    """Lower case, full width to plain, no invisible characters, no accents, wrapped lines joined, spaced-out words of four letters and more drawn together, and cut into words by `cut`."""
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", _UNSEEN.sub("", text)))
-    text = text.casefold()
-    return _SPACED.sub(lambda m: cut(m[0].replace(m[1], "")), text)
+    text = _WRAPPED.sub(" ", text).casefold() if "\n" in text else text.casefold()
+    return _SPACED.sub(lambda m: cut(m[0].replace(m[1], "")) if len(m[0]) > 6 or m[0][::2] == "kys" else m[0], text)
 
 
 def _plain(token: str) -> str:
@@ -58,9 +81,9 @@ def _plain(token: str) -> str:
 
 
 class Lexicon:
-    """Terms, cues and phrases; ordinary holds the words of the corpus that only look like misspelled terms."""
+    """Terms, cues and phrases; words holds what is never a misspelled term, weights those of the phrases where they aren't the lexicon's."""
 
-    def __init__(self, ordinary: frozenset[str] = frozenset()):
+    def __init__(self, words: frozenset[str] = frozenset(), weights: tuple[float, ...] | None = None):
         classes = {name: words.split() for name, words in TERMS.items()}
         terms = {t for words in classes.values() for t in words}
         gates = [gate(p) for p, _ in PHRASES]
@@ -76,20 +99,13 @@ class Lexicon:
             if len(bone) >= 3 and bone != t:
                 self.bones.setdefault(bone, t)
         self.bones |= {"fck": "fuck", "fcking": "fucking", "kll": "kill", "dck": "dick", "cck": "cock", "sx": "sex"}
-        #: Terms of four letters with any two neighbours swapped, longer ones with the first two.
-        self.swapped = dict(SPELLINGS)
-        for t in sorted(terms):
-            for i in range(len(t) - 1 if len(t) == 4 else 1 if len(t) > 4 else 0):
-                slip = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
-                if slip not in self.known and slip not in SWAPPED_WORDS:
-                    self.swapped.setdefault(slip, t)
         self.trie = Trie({t for t in self.exact if len(t) >= (4 if t in terms else 7)})
-        self.ordinary = ordinary | set(COMMON.split())
+        self.words = words
         self.cache: dict[str, tuple[str, bool]] = {}
         #: Words seen that are no hits.
         self.idle: set[str] = set()
         alternatives = {name: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")(?:s|es|n|en)?" for name, words in classes.items()}
-        self.phrases = [(re.compile(re.sub(r"\{([A-Z]+)\}", lambda m: alternatives[m[1]], p)), w) for p, w in PHRASES]
+        self.phrases = [(re.compile(re.sub(r"\{([A-Z]+)\}", lambda m: alternatives[m[1]], p)), w) for (p, _), w in zip(PHRASES, weights or [w for _, w in PHRASES], strict=True)]
         #: Which phrases a word is a gate of: every match of a phrase holds one of its gates.
         self.part_of: dict[str, set[int]] = {}
         for k, g in enumerate(gates):
@@ -99,12 +115,11 @@ class Lexicon:
         self.words_of = re.compile(r"\b(?:" + "|".join(alternatives[n] for n in ("INS", "WEAK", "ADJ", "PRIVATE")) + r")\b")
 
     def slips(self, word: str) -> tuple[int, str] | None:
-        """The nearest term to a word that is none itself: (slips, term)."""
+        """The nearest term to a word that is none itself: (slips, term). Two slips in words of nine letters, one in shorter ones, none that a word of two letters would be left of."""
         letters = len(word) - word.count("?")
-        if letters < 2 or len(word) < 4:
+        if letters < 2 or len(word) < 3 or (len(word) == 3 and not set(word) & set(VOWELS)):
             return None
-        most = 0 if letters < 3 else 1 if len(word) < 9 else 2
-        near = [(s, t) for s, t in self.trie.near(word, most, first=None if word[0] == "?" else word[0]) if (s == 0 or len(t) >= 5 or "?" not in word and len(word) == 3)]
+        near = self.trie.near(word, 0 if letters < 3 else 1 if len(word) < 9 else 2)
         return near[0] if near else None
 
     def spelled(self, token: str) -> tuple[str, bool]:
@@ -120,6 +135,8 @@ class Lexicon:
         word = _plain(token.strip("*_#"))
         if word in self.known:
             return word, True
+        if word in SPELLINGS:
+            return SPELLINGS[word], True
         if not any(c.isalpha() for c in word):
             return word, False
         signs = any(c in SIGNS for c in word)
@@ -131,11 +148,11 @@ class Lexicon:
                 w = _RUN.sub(r"\1", w)
                 if (t := self.squeezed.get(_REPEAT.sub(r"\1", w))) is not None:
                     return t, True
-            if not w.replace("?", "").isalpha() or word in self.ordinary:
+            if not w.replace("?", "").isalpha() or w in self.words:
                 continue
             if len(w) >= 3 and "?" not in w and not set(w) & set(VOWELS + "y") and (t := self.bones.get(w)):
                 return t, True
-            if (t := self.swapped.get(w)) is not None:
+            if "ph" in w and (t := w.replace("ph", "f")) in self.known:
                 return t, True
             if (near := self.slips(w)) is not None:
                 return near[1], True
@@ -153,15 +170,21 @@ class Lexicon:
                 rest, i = rest + drawn[i], i + 1
         return " ".join([*out, rest] if rest else out)
 
-    def doubtful(self, word: str) -> bool:
-        """Whether only a slip makes a word of plain letters a term; frequent such words are ordinary ones."""
-        return word not in self.known and not _RUN.search(word) and self.spelled(word)[1]
-
     def score(self, text: str | None) -> tuple[float, str]:
         """The score of the worst sentence, from 0 to 1, and the words that made it."""
-        if not text:
-            return 0.0, ""
         best = (0.0, "")
+        for found in self.sentences(text):
+            left = 1.0
+            for k, _, about in found:
+                left *= 1 - self.phrases[k][1] * (0.3 if about else 1)
+            if 1 - left > best[0]:
+                best = (1 - left, "; ".join(said for _, said, _ in found))
+        return best
+
+    def sentences(self, text: str | None) -> Iterator[list[tuple[int, str, bool]]]:
+        """The phrases found in each sentence that holds any, as hits() gives them."""
+        if not text:
+            return
         folded = fold(text, self.cut)
         spelled = self.spelled
         fresh = set(_WORDS.findall(folded)) - self.idle
@@ -170,7 +193,7 @@ class Lexicon:
             self.idle.clear()
         self.idle |= fresh - hits
         if not hits:
-            return best
+            return
         for sentence in _SENTENCE.split(folded):
             if not any(h in sentence for h in hits):
                 continue
@@ -182,88 +205,34 @@ class Lexicon:
                 w = spelled(t)[0]
                 phrases |= self.part_of.get(w, set())
                 said.append(w)
-            if phrases:
-                score, what = self.sentence(" ".join(said), sentence, phrases)
-                if score > best[0]:
-                    best = (score, what)
-        return best
+            if phrases and (found := list(self.hits(" ".join(said), sentence, phrases))):
+                yield found
 
-    def sentence(self, line: str, raw: str, phrases: set[int]) -> tuple[float, str]:
-        left, what = 1.0, []
-        for pattern, weight in (self.phrases[k] for k in sorted(phrases)):
-            m = pattern.search(line)
+    def hits(self, line: str, raw: str, phrases: set[int]) -> Iterator[tuple[int, str, bool]]:
+        """(phrase, its words, are they spoken about rather than spoken) of the phrases that the line holds."""
+        for k in sorted(phrases):
+            m = self.phrases[k][0].search(line)
             if m:
                 near = " ".join(line[: m.start()].split()[-12:]) + " " + m[0] + " " + " ".join(line[m.end() :].split()[:12])
-                if _MENTION.search(near) or any(self.words_of.search(" ".join(self.spelled(t)[0] for t in q.split())) for q in _QUOTED.findall(raw)):
-                    weight *= 0.3
-                left *= 1 - weight
-                what.append(m[0])
-        return 1 - left, "; ".join(what)
+                about = bool(_MENTION.search(near)) or any(self.words_of.search(" ".join(self.spelled(t)[0] for t in q.split())) for q in _QUOTED.findall(raw))
+                yield k, m[0], about or bool(_ANIMAL_TERMS.search(m[0]) and _ANIMALS.search(near))
 
 
 @lru_cache(maxsize=3)
-def lexicon(ordinary: frozenset[str] = frozenset()) -> Lexicon:
-    return Lexicon(ordinary)
-
+def lexicon(folder: str = FOLDER, weights: tuple[float, ...] | None = None) -> Lexicon:
+    return Lexicon(real_words(folder), weights)
 
-def ordinary_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 5e-4, least: int = 5) -> frozenset[str]:
-    """Words one slip away from a term that stand in at least `share` of all documents (and `least` of them): words of their own, not misspelled terms.
-
-    A frequent slip stays a term if half or more of the distinct sentences with it are insults when it is read as the term and not when it is read as
-    a word, so copies and spam can't make their spelling ordinary. Counted over all whole texts. Only words near a term of the fixed lexicon and above the share come back, so their number is bounded by the
-    words a document has divided by the share.
-    """
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, plain = lexicon(), set()
-        for pdf in frames:
-            seen: dict[str, int] = {"": len(pdf)}
-            for text in pdf[text_col]:
-                if text:
-                    new = set(_LONG.findall(text.casefold() if text.isascii() else fold(text))) - plain
-                    slips = {w for w in new if lex.doubtful(w)}
-                    plain |= new - slips
-                    for w in slips:
-                        seen[w] = seen.get(w, 0) + 1
-            if len(plain) > 1_000_000:
-                plain.clear()
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-
-    counts = docs.select(text_col).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("word") == "", F.col("n")))
-    n = counts.agg(total.alias("n")).first()["n"] or 0
-    frequent = frozenset(r["word"] for r in counts.where((F.col("n") >= max(least, share * n)) & (F.col("word") != "")).collect())
-    if not frequent:
-        return frequent
-
-    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_term, as_word = lexicon(), lexicon(frequent)
-        for pdf in frames:
-            seen: dict[tuple[str, str], int] = {}
-            for text in pdf[text_col]:
-                if text and frequent & set(_LONG.findall(folded := fold(text, as_term.cut))):
-                    for sentence in _SENTENCE.split(folded):
-                        for w in frequent & set(_LONG.findall(sentence)):
-                            if (w, key := sha1(sentence.encode(errors="replace")).hexdigest()[:16]) not in seen:
-                                seen[w, key] = int(as_term.score(sentence)[0] >= 0.5 > as_word.score(sentence)[0])
-            yield pd.DataFrame({"word": [w for w, _ in seen], "sentence": [k for _, k in seen], "insult": list(seen.values())}).astype({"word": str, "sentence": str, "insult": "int64"})
 
-    distinct = docs.select(text_col).mapInPandas(placed, "word string, sentence string, insult long").groupBy("word", "sentence").agg(F.max("insult").alias("insult"))
-    meant = distinct.groupBy("word").agg(F.avg("insult").alias("share")).where("share >= 0.5")
-    return frequent - {r["word"] for r in meant.collect()}
-
-
-def abuse_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 5e-4, source: str | None = None) -> DataFrame:
+def abuse_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source: str | None = None, folder: str = FOLDER, weights: tuple[float, ...] | None = None) -> DataFrame:
     """Rows (id_col, score, evidence) of every row, and source if one is named: score from 0 to 1, evidence the words that made it.
 
     NULL, empty and blank texts score 0, repeated rows each get theirs, a NULL id keeps its row, an empty table gives no rows; other columns are ignored. Whole
-    texts are read, of any length; nothing is shuffled but the counts of doubtful words.
+    texts are read once, of any length, and nothing is shuffled; no score depends on another text. weights: of the phrases, in their order, as fit_weights() gives them.
     """
     own = [id_col] if source is None else [id_col, source]
-    ordinary = ordinary_words(docs, id_col=id_col, text_col=text_col, share=share)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = lexicon(ordinary)
+        lex = lexicon(folder, weights)
         for pdf in frames:
             scored = [lex.score(t) for t in pdf[text_col]]
             yield pd.DataFrame({**{c: pdf[c] for c in own}, "score": [round(s, 4) for s, _ in scored], "evidence": [w for _, w in scored]})
@@ -280,3 +249,48 @@ def abuse_rates(docs: DataFrame, scores: DataFrame, *, id_col: str = "doc_id", s
     flag = (F.col("score") >= threshold).cast("int")
     rows = scores if source in scores.columns else docs.select(id_col, source).join(scores, id_col)
     return rows.groupBy(source).agg(F.count("*").alias("n_docs"), F.sum(flag).alias("n_abusive"), F.avg(flag).alias("rate"))
+
+
+def majority(labels: DataFrame, id_col: str = "doc_id", label: str = "abusive") -> DataFrame:
+    """(id_col, raters, marks, marked): how many raters gave a label, how many of them marked the text, and what most of them say, NULL where they are split."""
+    rows = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.count("*").alias("raters"), F.sum(label).cast("long").alias("marks"))
+    return rows.withColumn("marked", F.when(F.col("marks") * 2 != F.col("raters"), F.col("marks") * 2 > F.col("raters")))
+
+
+def agreement(scores: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """(found, raters, marks, n): labelled documents by whether they are found, their raters and how many of those marked them.
+
+    With it the raters' own noise can be told from the operator's errors: where two raters err on their own, each at a rate e, both are wrong in e * e of the documents.
+    """
+    both = scores.select(id_col, (F.col("score") >= threshold).alias("found")).join(majority(labels, id_col), id_col)
+    return both.groupBy("found", "raters", "marks").agg(F.count("*").alias("n"))
+
+
+def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, noise: float = 0.05, pull: float = 2.0, folder: str = FOLDER) -> tuple[float, ...]:
+    """Weights of the phrases, fitted to at most `sample` labelled documents, chosen by the hash of their id; the lexicon's own weights are where the fit starts from.
+
+    A text is abusive unless each phrase it holds fails to make it so (noisy or), and a rater errs in `noise` of the cases; weights move away from the lexicon's as far as the
+    likelihood outweighs `pull` times the squared distance, so a phrase no labelled text holds keeps its own. Without labels all do. Only phrase numbers and labels come to the driver.
+    """
+    chosen = majority(labels, id_col).where("marked is not null").orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("_id"), "marked")
+
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = lexicon(folder)
+        for pdf in frames:
+            yield pd.DataFrame({"marked": pdf["marked"], "hits": [sorted({k for s in lex.sentences(t) for k, _, about in s if not about}) for t in pdf[text_col]]})
+
+    rows = docs.join(chosen, F.col(id_col) == F.col("_id")).select("marked", text_col).mapInPandas(found, "marked boolean, hits array<int>").where("size(hits) > 0").toPandas()
+    prior = np.array([w for _, w in PHRASES])
+    if not len(rows):
+        return tuple(prior)
+    x = np.zeros((len(rows), len(PHRASES)))
+    for i, hits in enumerate(rows["hits"]):
+        x[i, hits] = 1
+    y, a0 = rows["marked"].to_numpy(dtype=bool), -np.log1p(-prior)
+    a = a0.copy()
+    for _ in range(400):
+        miss = np.exp(-x @ a)
+        q = noise + (1 - 2 * noise) * (1 - miss)
+        slope = np.where(y, 1 / q, -1 / (1 - q)) * (1 - 2 * noise) * miss
+        a = np.clip(a + 0.2 * (slope @ x - 2 * pull * (a - a0)) / (1 + x.sum(0)), 0.01, 6)
+    return tuple(np.round(1 - np.exp(-a), 6).tolist())

@@ -7,20 +7,33 @@ letters of all terms at once, and a branch ends where no state is left.
 from __future__ import annotations
 
 
+def without(word: str, letters: int) -> set[str]:
+    """The word, and what is left of it without up to so many letters."""
+    out, last = {word}, {word}
+    for _ in range(letters):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
 class Trie:
-    def __init__(self, terms: set[str]):
+    def __init__(self, terms: set[str], most: int = 2):
         self.root: dict = {}
+        #: What is left of the terms without up to `most` of their letters: a word within so many slips shares one of these with a term.
+        self.left = [frozenset(x for t in terms for x in without(t, k)) for k in range(most + 1)]
         for term in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
 
-    def near(self, token: str, most: int, wildcard: str = "?", first: str | None = None) -> list[tuple[int, str]]:
+    def near(self, token: str, most: int, wildcard: str = "?") -> list[tuple[int, str]]:
         """(slips, term) for each term within `most` slips of token: a letter changed, dropped, added, or two swapped. A wildcard is any one letter.
 
-        first: only terms that begin with this letter, whose branch alone is walked.
+        Words that share no remainder with a term are turned away before the walk; none that is near is lost by that.
         """
+        if wildcard not in token and most < len(self.left) and self.left[most].isdisjoint(without(token, most)):
+            return []
         m = len(token)
         masks: dict[str, int] = {}
         anything = 0
@@ -31,8 +44,7 @@ class Trie:
                 masks[c] = masks.get(c, 0) | 1 << i
         start = tuple((1 << (e + 1)) - 1 for e in range(most + 1))  # dropped letters at the front
         found: list[tuple[int, str]] = []
-        root = self.root if first is None else {first: self.root[first]} if first in self.root else {}
-        stack = [(root, start, None, 0)]
+        stack = [(self.root, start, None, 0)]
         while stack:
             node, states, before, seen_before = stack.pop()
             for c, child in node.items():

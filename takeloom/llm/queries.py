@@ -67,7 +67,18 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.abuse_rates(docs, abuse.abuse_scores(docs, source="source"), threshold=ABUSIVE)
 
 
-QUERIES = {"p2_found": p2_found, "p2_quotas": p2_quotas, "p2_sample": p2_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removal": p7_removal, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+def p8_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How documents found and not found were marked by their raters."""
+    return abuse.agreement(p8_scores(spark, sf_dir), table(spark, sf_dir, "abuse_labels"), threshold=ABUSIVE)
+
+
+def p8_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases' weights in the lexicon and as fitted to the labels."""
+    fitted = abuse.fit_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"))
+    return spark.createDataFrame([(k, float(w), float(f)) for k, ((_, w), f) in enumerate(zip(abuse.PHRASES, fitted, strict=True))], "phrase int, weight double, fitted double")
+
+
+QUERIES = {"p2_found": p2_found, "p2_quotas": p2_quotas, "p2_sample": p2_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p7_removal": p7_removal, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_agreement": p8_agreement, "p8_weights": p8_weights}
 
 SQL: dict[str, str] = {
     "p2_found": """

@@ -7,6 +7,7 @@ from re import _parser as parser
 
 import pytest
 
+import unseen_sentences
 from takeloom.llm import abuse, queries
 from takeloom.llm.automaton import Trie
 from takeloom.llm.lexicon import PHRASES, TERMS
@@ -67,10 +68,10 @@ def test_rates(spark):
     assert rates == {"a": (2, 1, 0.5), None: (1, 0, 0.0)}
 
 
-def test_ordinary_words(spark):
-    df = spark.createDataFrame([(i, "the whoel batch of you") for i in range(8)], "doc_id bigint, text string")
-    assert "batch" in abuse.ordinary_words(df)
-    assert abuse.ordinary_words(df.limit(4)) == frozenset()
+def test_real_words():
+    words = abuse.real_words()
+    assert {"batch", "where", "count", "closer", "creak", "mitten", "whole"} <= words and not {"mroon", "bicth", "ediot", "diiot", "vhore"} & words
+    assert all(abuse.lexicon().spelled(w)[0] == w for w in ("batch", "where", "count", "creak", "mitten"))
 
 
 def test_held_out_accuracy(spark):
@@ -130,14 +131,73 @@ def test_swapped_letters(word):
     assert lex.score(line)[0] >= 0.5
 
 
-def test_frequent_insult_is_no_ordinary_word(spark):
-    """Copies of an insult don't make its spelling a word; a word that stands elsewhere is one."""
-    data = [(i, "You are a mroon!" if i % 3 == 0 else f"The whoel batch number {i} of the tapes is short.") for i in range(60)] + [(99, "Get lost, you mroon.")]
+def test_score_depends_on_the_text_alone(spark):
+    """However often a spelling occurs, it counts; however rare a word is, it is none."""
+    data = [(i, "You are a mroon!" if i % 3 == 0 else f"The whole batch number {i} of the tapes is short.") for i in range(60)] + [(99, "Get lost, you mroon.")]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
-    words = abuse.ordinary_words(df)
-    assert "batch" in words and "mroon" not in words
     found = {r.doc_id for r in abuse.abuse_scores(df).where("score >= 0.5").collect()}
     assert found == {i for i, t in data if "mroon" in t}
+    assert {r.doc_id for r in abuse.abuse_scores(df.where("doc_id in (1, 99)")).where("score >= 0.5").collect()} == {99}
+
+
+@pytest.mark.parametrize("word", ["ediot", "diiot", "vhore", "phucking", "kunt", "morron", "bich", "cumt", "asshle"])
+def test_slips_anywhere(word):
+    assert abuse.lexicon().score(f"You are a {word} person, you {word}.")[0] >= 0.5 or abuse.lexicon().spelled(word)[1]
+
+
+def test_gate_of_the_walk_loses_nothing():
+    """Every word within reach of a term passes the test of shared remainders."""
+    rng, lex = random.Random(5), abuse.lexicon()
+    terms = sorted(t for t in lex.exact if len(t) >= 7)
+    for _ in range(300):
+        word = list(rng.choice(terms))
+        for _ in range(rng.choice((1, 2))):
+            i, kind = rng.randrange(len(word) - 1), rng.randrange(4)
+            if kind == 0:
+                word[i] = rng.choice("abcxyz")
+            elif kind == 1:
+                del word[i]
+            elif kind == 2:
+                word.insert(i, rng.choice("abcxyz"))
+            else:
+                word[i], word[i + 1] = word[i + 1], word[i]
+        word = "".join(word)
+        want = sorted((slips(word, t), t) for t in terms if abs(len(t) - len(word)) <= 2 and slips(word, t) <= 2)
+        assert [x for x in lex.trie.near(word, 2) if x[1] in set(terms)] == want
+
+
+def test_wrapped_lines():
+    assert abuse.lexicon().score("> I swear I will kill\n> you tomorrow.")[0] >= 0.5
+    assert abuse.lexicon().score("Mark the vowel you\n\nBastard file: see drawer 4.")[0] < 0.5
+
+
+def measured(abusive, harmless):
+    lex = abuse.lexicon()
+    hit, false = sum(lex.score(t)[0] >= 0.5 for t in abusive), sum(lex.score(t)[0] >= 0.5 for t in harmless)
+    return hit / len(abusive), hit / max(1, hit + false)
+
+
+def test_unseen_sentences():
+    """FIRST shaped the lexicon after its first run (recall 0.78, precision 1.00 then); SECOND was written after that and changed nothing."""
+    assert measured(unseen_sentences.ABUSIVE, unseen_sentences.HARMLESS) == (1.0, 1.0)
+    recall, precision = measured(unseen_sentences.ABUSIVE_LATER, unseen_sentences.HARMLESS_LATER)
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_fitted_weights(spark):
+    """Fitted on half of the labels, they judge the other half as well as the lexicon's own; phrases without labels keep theirs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/abuse_labels.parquet")
+    half, rest = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    fitted = abuse.fit_weights(docs, half)
+    assert len(fitted) == len(PHRASES) and all(0 < w < 1 for w in fitted)
+
+    def accuracy(weights):
+        rows = abuse.agreement(abuse.abuse_scores(docs, weights=weights), rest).where("raters <> marks * 2").collect()
+        return sum(r.n for r in rows if r.found == (r.marks * 2 > r.raters)) / sum(r.n for r in rows)
+
+    assert accuracy(fitted) >= accuracy(None) - 0.02 and accuracy(fitted) > 0.85
+    assert abuse.fit_weights(docs, labels.limit(0)) == tuple(w for _, w in PHRASES)
 
 
 def test_rates_query_counts_each_row_once(spark, tmp_path):
