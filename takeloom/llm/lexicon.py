@@ -200,7 +200,7 @@ PHRASES: list[tuple[str, float]] = [
     (r"\b(?:jerk|jerked|jerking|wank|wanked|wanking|jack|jacked) (?:him |me |himself )?off\b|\bcums? (?:on|in|inside|all over) (?:my|your|her|his|me|you)\b|\bmake you (?:cum|moan|scream my name)\b", 0.75),
     (r"\b(?:hand|hands|fingers|tongue) (?:up|under|down|inside|in|into|between) (?:her|his|your|my) (?:\w+ )?(?:{GARMENT}|thighs|legs)\b|\bspread (?:your|her|his) legs\b|\bsit on my face\b", 0.75),
     (r"\b(?:groan|groaned|groaning|moan|moaned|moaning|gasped|whimpered|screamed|panted) (?:\w+ )?(?:as|when|while) (?:he|she|they|i|you) (?:\w+ )?(?:enter|entered|thrust|pounded|pushed|slid|rode|licked|sucked|fucked|touched|penetrated)\b", 0.8),
-    (r"\b(?:thrust|thrusting|pounded|pounding|slid|slipped|pushed|penetrated|came) (?:his \w+ |himself |it )?(?:deep|deeper|hard|slowly )?(?:in|inside|into) (?:her|him|me|you)(?: again| and again| from behind)?(?= |$)(?! (?:office|car|room|house|pocket|bag|desk|seat|chair|coat)\b)", 0.55),
+    (r"\b(?:thrust|thrusting|pounded|pounding|slid|slipped|pushed|penetrated|came) (?:his \w+ |himself |it )?(?:(?:deep|deeper|hard|slowly) )?(?:in|inside|into) (?:her|him|me|you)(?: again| and again| from behind)?(?= |$)(?! (?:office|car|room|house|pocket|bag|desk|seat|chair|coat)\b)", 0.55),
     (r"\b(?:picture|pictures|photo|photos|video|pic|pics) of (?:you|your|yourself|her|him) (?:\w+ )?(?:naked|nude|undressed|topless)\b|\bsend (?:me )?(?:your |some )?(?:nudes|nude)\b", 0.8),
     (r"\b(?:you|her|him) (?:naked|moaning|begging|screaming) (?:\w+ )?(?:under|beneath|on top|for|in my)\b", 0.75),
     (r"\b(?:have|having|want) sex with (?:me|you|him|her|us)\b|\bsex with (?:you|me)\b", 0.6),
@@ -319,7 +319,8 @@ def _expand(tree: list, names: dict[str, str]) -> tuple[set[str] | None, frozens
             now = {_ANY}
         if now is None or len(run) * len(now) > STRINGS:
             gate, broken = _better(gate, own, _words({r + _ANY for r in run})), True
-            run = {_ANY} if now is None else {_ANY + s for s in now}
+            edge = " " if all(r.endswith((" ", _EDGE)) for r in run) else ""
+            run = {_ANY} if now is None else {_ANY + edge + s for s in now}
         else:
             run = {a + b for a in run for b in now}
     return (None, _better(gate, _words(run))) if broken else (run, None)
