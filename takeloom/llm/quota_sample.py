@@ -1,8 +1,8 @@
 """Samples that match target shares of cross-classified categories, drawn by a min-cost flow on the counts of the cells.
 
-Each stratum (a sampling round) is a network of a few cells: source -> row category -> cell -> column category -> sink. Arcs carry a cell's floor and its wanted
-number, both bounded by what is available, and slack arcs take what a cell can't fill, so the flow on a cell's slack is its shortfall. What
-falls short is taken from cells of the same categories that have more than they want, as far as there are any.
+Each stratum (a sampling round) is a network source -> row margin -> cell -> column margin -> sink of as many units as its sample has rows. Margins and cells are
+bounded by their targets, cells by what is available; arcs beyond a bound are slack and cost, so their flow tells what couldn't be met. The flow is
+solved in thousandths of a row, which keeps the targets exact, and rounded at random to whole rows without changing the size.
 """
 
 from __future__ import annotations
@@ -16,59 +16,101 @@ from pyspark.sql import functions as F
 
 from takeloom.llm.flow import Network
 
-#: Costs per row: more than the wanted number in the cell's own two categories, in one of them, in none; unfilled wants; unfilled floors.
-OWN, ONE, NONE, SLACK, SLACK_FLOOR = 1, 4, 16, 1_000, 100_000
+#: Costs of a thousandth of a row: above its cell's target, above a margin's target, in place of an unfilled floor.
+CELL, MARGIN, FLOOR = 1, 10_000, 100_000_000
+UNIT = 1000
+
+
+def rounded(table: dict[tuple, int], rng: np.random.Generator) -> dict[tuple, int]:
+    """Thousandths by (row, column) as whole numbers: each cell, row and column gets its floor or its ceiling, the total (a whole number) stays, and the mean of
+    each cell over all draws is its exact value.
+
+    An extra row and column make all margins whole; then each fractional cell lies on a cycle of such cells, along which the fractions are moved up and down in turn
+    until one of them is whole, up or down with odds that keep the means.
+    """
+    fraction = {k: v % UNIT for k, v in table.items()}
+    rows: dict[object, int] = {}
+    cols: dict[object, int] = {}
+    for (r, c), v in fraction.items():
+        rows[r], cols[c] = rows.get(r, 0) + v, cols.get(c, 0) + v
+    cells = {(("r", r), ("c", c)): v for (r, c), v in fraction.items()}
+    cells |= {(("r", r), ("c",)): -v % UNIT for r, v in rows.items()} | {(("r",), ("c", c)): -v % UNIT for c, v in cols.items()}
+    cells[("r",), ("c",)] = -sum(-v % UNIT for v in rows.values()) % UNIT
+    near: dict[tuple, set[tuple]] = {}
+    for (r, c), v in cells.items():
+        if v:
+            near.setdefault(r, set()).add(c)
+            near.setdefault(c, set()).add(r)
+    key = lambda a, b: (a, b) if a[0] == "r" else (b, a)
+    while near:
+        path = [min(near, key=repr)]
+        while path[-1] not in path[:-1]:
+            path.append(min((n for n in near[path[-1]] if len(path) < 2 or n != path[-2]), key=repr))
+        cycle = path[path.index(path[-1]) :]
+        edges = [key(a, b) for a, b in zip(cycle, cycle[1:], strict=False)]
+        up = min(UNIT - cells[e] if n % 2 == 0 else cells[e] for n, e in enumerate(edges))
+        down = min(cells[e] if n % 2 == 0 else UNIT - cells[e] for n, e in enumerate(edges))
+        step = up if rng.integers(up + down) < down else -down
+        for n, (r, c) in enumerate(edges):
+            cells[r, c] += step if n % 2 == 0 else -step
+            if cells[r, c] % UNIT == 0:
+                near[r].discard(c), near[c].discard(r)
+        near = {n: others for n, others in near.items() if others}
+    return {(r, c): v // UNIT + cells[("r", r), ("c", c)] // UNIT for (r, c), v in table.items()}
 
 
 def cell_quotas(cells: list[tuple[str, str, int, int, int, int]], size: int, seed: int) -> list[dict[str, int]]:
     """Integer quotas of one stratum's cells (row, column, permille, floor, wanted, available).
 
-    Each cell is served its floor, then up to its wanted number; the slack on its demand is `shortfall`. `quota` is what is to be drawn: the target size * permille /
-    1000, rounded down or up at random with the fraction's odds so that the total is kept, the floor at least, and what the shortfalls leave over spread to
-    cells with rows to spare, those in the same categories first.
+    `shortfall`: the slack of the network whose margins are what the cells of a row or column want. `quota`: size rows in all (fewer only if no more are available), floors first as far as they
+    are available and fit the size, then the margins' targets, then the cells' own; `unmet_floor`: what of an available floor the size leaves no room for.
     """
     rng = np.random.default_rng(seed)
-    exact = [size * c[2] for c in cells]
-    # systematic rounding: one random start, every cell gets its floor or its ceiling, the sum is that of the exact targets
-    order = rng.permutation(len(cells))
-    cuts = (np.cumsum([0, *[exact[i] for i in order]]) + int(rng.integers(1000))) // 1000
-    drawn = dict(zip(order.tolist(), np.diff(cuts).tolist(), strict=True))
+    margin = lambda k, of: {name: sum(of(c) for c in cells if c[k] == name) for name in {c[k] for c in cells}}
 
     # what is wanted, and what of it can't be had
-    net, demand = Network(), {}
-    for i, (_, _, _, floor, wanted, available) in enumerate(cells):
-        floor = min(floor, wanted)
-        net.arc("source", ("want", i), wanted, 0)
-        demand[i] = (net.arc(("want", i), ("cell", i), wanted, 0), net.arc(("want", i), "sink", floor, SLACK_FLOOR), net.arc(("want", i), "sink", wanted - floor, SLACK))
-        net.arc(("cell", i), "sink", available, 0)
+    net, slack = Network(), {}
+    for k, side in ((0, "row"), (1, "col")):
+        for name, n in margin(k, lambda c: c[4]).items():
+            net.arc(*(("source", (side, name)) if k == 0 else ((side, name), "sink")), n, 0)
+    for i, (row, col, _, _, wanted, available) in enumerate(cells):
+        net.arc(("row", row), ("cell", i), min(wanted, available), 0)
+        slack[i] = net.arc(("row", row), ("cell", i), wanted, FLOOR)
+        net.arc(("cell", i), ("col", col), wanted, 0)
     net.send("source", "sink", sum(c[4] for c in cells))
-    short = {i: net.flow(a[1]) + net.flow(a[2]) for i, a in demand.items()}
-
-    # what is drawn: targets and floors as far as available, the rest moved along the margins
-    target = {i: max(drawn[i], min(c[3], c[4])) for i, c in enumerate(cells)}
-    net, into = Network(), {i: [] for i in range(len(cells))}
-    for i, (row, col, _, _, _, available) in enumerate(cells):
-        net.arc("source", ("target", i), target[i], 0)
-        into[i].append(net.arc(("target", i), ("cell", i), target[i], 0))
-        net.arc(("target", i), ("row", row), target[i], OWN)
-        net.arc(("target", i), ("col", col), target[i], OWN)
-        net.arc(("target", i), "any", target[i], NONE)
-        net.arc(("target", i), "sink", target[i], SLACK)
-        into[i] += [net.arc(("row", row), ("cell", i), available, ONE), net.arc(("col", col), ("cell", i), available, ONE), net.arc("any", ("cell", i), available, ONE)]
-        net.arc(("cell", i), "sink", available, 0)
-    net.send("source", "sink", sum(target.values()))
-    return [{"quota": sum(net.flow(a) for a in into[i]), "shortfall": short[i]} for i in range(len(cells))]
+
+    # what is drawn
+    drawn, into = Network(), {}
+    for k, side in ((0, "row"), (1, "col")):
+        for name, n in margin(k, lambda c: size * c[2]).items():
+            ends = ("source", (side, name)) if k == 0 else ((side, name), "sink")
+            drawn.arc(*ends, n, 0), drawn.arc(*ends, size * UNIT, MARGIN)
+    for i, (row, col, permille, floor, _, available) in enumerate(cells):
+        most, floor = available * UNIT, min(floor, available) * UNIT
+        target = min(most, max(floor, size * permille))
+        into[i] = [drawn.arc(("row", row), ("cell", i), floor, 0), drawn.arc(("row", row), ("cell", i), target - floor, FLOOR), drawn.arc(("row", row), ("cell", i), most - target, FLOOR + CELL)]
+        drawn.arc(("cell", i), ("col", col), most, 0)
+    drawn.send("source", "sink", size * UNIT)
+    exact = {i: sum(drawn.flow(a) for a in arcs) for i, arcs in into.items()}
+    # repeated targets of a cell are rounded as parallel columns of their own
+    seen: dict[tuple, int] = {}
+    place = {}
+    for i, c in enumerate(cells):
+        seen[c[0], c[1]] = seen.get((c[0], c[1]), 0) + 1
+        place[i] = (c[0], c[1] if seen[c[0], c[1]] == 1 else (c[1], seen[c[0], c[1]]))
+    whole = rounded({place[i]: v for i, v in exact.items()}, rng)
+    return [{"quota": whole[place[i]], "shortfall": net.flow(slack[i]), "unmet_floor": max(0, min(c[3], c[5]) - whole[place[i]])} for i, c in enumerate(cells)]
 
 
 def wanted_number(size: int, permille: int, floor: int) -> int:
     return max(floor, -(-size * permille // 1000))
 
 
-QUOTAS = "permille long, floor long, size long, wanted long, available long, quota long, shortfall long"
+QUOTAS = "permille long, floor long, size long, wanted long, available long, quota long, shortfall long, unmet_floor long"
 
 
 def quotas(population: DataFrame, targets: DataFrame, stratum: str, row: str, col: str, *, seed: int = 0) -> DataFrame:
-    """One row per row of targets (stratum, row, col, target_permille, min_rows, sample_size) with wanted, available, quota and shortfall.
+    """One row per row of targets (stratum, row, col, target_permille, min_rows, sample_size) with wanted, available, quota, shortfall and unmet_floor.
 
     population holds the eligible rows (stratum, row, col); their counts are aggregated before they are shuffled, and each stratum's network has as
     many nodes as it has targets. A cell wants the larger of min_rows and its share of sample_size rounded up. A stratum without eligible
@@ -88,25 +130,42 @@ def quotas(population: DataFrame, targets: DataFrame, stratum: str, row: str, co
             for before, at in zip(same.index, same.index[1:], strict=False):
                 pdf.loc[at, "available"] = max(0, pdf.loc[before, "available"] - pdf.loc[before, "wanted"])
         solved = cell_quotas(list(pdf[[row, col, "permille", "floor", "wanted", "available"]].itertuples(index=False, name=None)), int(pdf["size"].max()), seed)
-        return pdf.assign(quota=[s["quota"] for s in solved], shortfall=[s["shortfall"] for s in solved])[[*cells, *[c.split()[0] for c in QUOTAS.split(", ")]]]
+        return pdf.assign(**{n: [s[n] for s in solved] for n in ("quota", "shortfall", "unmet_floor")})[[*cells, *[c.split()[0] for c in QUOTAS.split(", ")]]]
 
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.select(*cells).schema.fields)
     return joined.groupBy(stratum).applyInPandas(solve, f"{keys}, {QUOTAS}")
 
 
-def draw(population: DataFrame, quota: DataFrame, stratum: str, row: str, col: str, id_col: str, *, seed: int = 0, salts: int = 32) -> DataFrame:
+def margins(quota: DataFrame, stratum: str, row: str, col: str) -> DataFrame:
+    """(stratum, margin, category, target, drawn, missed): rows drawn of each row and column category against its target share of the size; missed is the distance beyond rounding."""
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("margin"), F.col(c).alias("category")) for c in (row, col)])).alias("side")
+    sums = quota.select(stratum, sides, "permille", "size", "quota").groupBy(stratum, "side.margin", "side.category").agg((F.sum("permille") * F.max("size") / 1000).alias("target"), F.sum("quota").alias("drawn"))
+    return sums.withColumn("missed", F.greatest(F.floor("target") - F.col("drawn"), F.col("drawn") - F.ceil("target"), F.lit(0)).cast("long"))
+
+
+def totals(quota: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, size, available, drawn, shortfall, unmet_floors, within): one row per stratum; within: whether no quota is above what is available."""
+    return quota.groupBy(stratum).agg(F.max("size").alias("size"), F.sum("available").alias("available"), F.sum("quota").alias("drawn"), F.sum("shortfall").alias("shortfall"), F.sum("unmet_floor").alias("unmet_floors"),
+                                      F.bool_and(F.col("quota").between(0, F.col("available"))).alias("within"))
+
+
+def draw(population: DataFrame, quota: DataFrame, stratum: str, row: str, col: str, id_col: str, *, seed: int = 0) -> DataFrame:
     """The rows of population that are drawn: in each cell the first `quota` in a random order given by seed and id, so runs agree.
 
-    A cell with a third of all rows is ranked in parts first; only rows within the quota of their part are ranked together.
+    Rows are counted by cell and the first 16 bits of their hash; all below the bucket in which the quota is reached are drawn, and only the rows of that bucket, a 65,536th of a
+    cell, are ranked. Rows of one id have one hash and are ranked together.
     """
     cells = [stratum, row, col]
     number = quota.groupBy(*cells).agg(F.sum("quota").alias("_quota")).where("_quota > 0")
-    ranked = population.join(number, cells).withColumn("_luck", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
-    order = [F.col("_luck"), F.col(id_col)]
-    part = Window.partitionBy(*cells, "_salt").orderBy(*order)
-    some = ranked.withColumn("_salt", F.pmod("_luck", F.lit(salts))).withColumn("_rank", F.row_number().over(part)).where("_rank <= _quota")
-    best = some.withColumn("_rank", F.row_number().over(Window.partitionBy(*cells).orderBy(*order))).where("_rank <= _quota")
-    return best.drop("_salt", "_rank", "_luck", "_quota")
+    rows = population.join(number, cells).withColumn("_luck", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))).withColumn("_bucket", F.shiftright("_luck", 48))
+    counts = rows.groupBy(*cells, "_bucket").agg(F.count("*").alias("_n"), F.first("_quota").alias("_q"))
+    upto = Window.partitionBy(*cells).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    edge = counts.withColumn("_upto", F.sum("_n").over(upto)).where("_upto >= _q and _upto - _n < _q").select(*cells, F.col("_bucket").alias("_edge"), (F.col("_q") - F.col("_upto") + F.col("_n")).alias("_rest"))
+    placed = rows.join(edge, cells, "left")
+    sure = placed.where("_edge is null or _bucket < _edge")
+    last = Window.partitionBy(*cells).orderBy("_luck", id_col)
+    some = placed.where("_bucket = _edge").withColumn("_rank", F.row_number().over(last)).where("_rank <= _rest").drop("_rank")
+    return sure.unionByName(some).drop("_luck", "_bucket", "_quota", "_edge", "_rest")
 
 
 def eligible(df: DataFrame, stratum: str, id_col: str, row: str, col: str, rate: Callable, *, at: str = "loaded_at", ends: str = "deleted_at", tie: str = "row_id") -> DataFrame:
