@@ -2,7 +2,8 @@
 
 A record is read against a target schema. What the schema holds and the value fits goes into the typed part; every other field, and every value
 that can't be cast, is kept as JSON in `_rescued`. Approved fields are promoted later by replaying the rescued values into typed columns.
-Ingesting a file against the schema of the file before it (and that one against its successor's) rescues just what changed between them.
+Ingesting a file against the schema of the file before it (and that one against its successor's) rescues just what changed between them: fields the
+other schema lacks were added or removed, values that don't fit its class are a change of type.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from takeloom.session import NUMBER, canonical, stage, value_or_null
 
@@ -54,74 +54,112 @@ def read_headers(files: DataFrame) -> DataFrame:
     return parsed.withColumn("prev_file", F.lag("file_id").over(series)).withColumn("next_file", F.lead("file_id").over(series))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_record(record: pd.Series, delimiter: pd.Series) -> pd.Series:
-    return pd.Series([_split(r, d) if r is not None else [] for r, d in zip(record, delimiter, strict=True)])
+#: What a value is, outer blanks included: nothing, a whole number, a number, true or false.
+NOTHING, WHOLE, DECIMAL, TRUTH = r"(?i)^ *(nan)? *$", r"^ *[+-]?\d+ *$", NUMBER.replace("^", "^ *").replace("$", " *$"), r"(?i)^ *(true|false) *$"
+
+
+def _cut(record: Column, delimiter: Column) -> Column:
+    """The values of a line: cut at the delimiter, quoted ones by a pattern (a doubled quote is one quote, an open one goes on to the end)."""
+    quoted = None
+    for d in DELIMITERS:
+        c = "\\" + d if d == "|" else d
+        pattern = f'{c}("(?:[^"]++|"")*+(?:"[^{c}]*|$)|[^{c}]*)'
+        raw = F.transform(F.regexp_extract_all(F.concat(F.lit(d), record), F.lit(pattern), 1), lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, r'(?s)^"((?:[^"]++|"")*+)"?', "$1"), F.lit('""'), F.lit('"'))).otherwise(x))
+        quoted = F.when(delimiter == d, raw) if quoted is None else quoted.when(delimiter == d, raw)
+    plain = None
+    for d in DELIMITERS:
+        parts = F.split(record, "\\" + d if d == "|" else d)
+        plain = F.when(delimiter == d, parts) if plain is None else plain.when(delimiter == d, parts)
+    return F.when(record.isNull(), F.array().cast("array<string>")).when(record.contains('"'), quoted).otherwise(plain)
+
+
+def value_class(raw: Column) -> Column:
+    """0 boolean, 1 integer, 2 decimal, 3 text; NULL for no value."""
+    return F.when(raw.isNull() | raw.rlike(NOTHING), None).when(raw.rlike(WHOLE), 1).when(raw.rlike(DECIMAL), 2).when(raw.rlike(TRUTH), 0).otherwise(3)
 
 
 def read_records(records: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per line of a file (file_id, series_id, line_no, entries array<struct<field, raw>>, extra array<string>).
+    """One row per line of a file (file_id, series_id, line_no, fields, raw, codes, extra): the header's fields, the values under them and the classes of those.
 
-    A line delivered twice is kept once (its lowest record_id). Values beyond the header go to `extra`; a line that ends early lacks the rest.
+    A line delivered twice is kept once (its lowest record_id). Values beyond the header go to `extra`; a line that ends early has fewer values than fields. Each value is classed
+    here, once, for all that follows.
     """
     once = records.select("record_id", "file_id", "line_no", "record").groupBy("file_id", "line_no").agg(F.min_by("record", "record_id").alias("record"))
-    joined = once.join(headers.select("file_id", "series_id", "delimiter", "fields"), "file_id").withColumn("raw", split_record("record", "delimiter"))
-    return joined.select("file_id", "series_id", "line_no", F.expr("transform(slice(fields, 1, least(size(fields), size(raw))), (f, i) -> struct(f as field, raw[i] as raw))").alias("entries"),
-                         F.expr("slice(raw, size(fields) + 1, greatest(size(raw) - size(fields), 0))").alias("extra"))
+    joined = once.join(headers.select("file_id", "series_id", "delimiter", "fields"), "file_id").withColumn("all", _cut(F.col("record"), F.col("delimiter")))
+    own = joined.withColumn("raw", F.slice("all", 1, F.size("fields")))
+    return own.select("file_id", "series_id", "line_no", "fields", "raw", F.transform("raw", value_class).alias("codes"), F.expr("slice(all, size(fields) + 1, greatest(size(all) - size(fields), 0))").alias("extra"))
 
 
-def value_class(raw: Column) -> Column:
-    """0 boolean, 1 integer, 2 decimal, 3 text; NULL for no value."""
-    t = value_or_null(raw)
-    return F.when(t.isNull(), None).when(F.lower(t).isin("true", "false"), 0).when(t.rlike(r"^[+-]?\d+$"), 1).when(t.rlike(NUMBER), 2).otherwise(3)
+def profile(records: DataFrame) -> DataFrame:
+    """(file_id, pos, code): the class over all values of each field of each file, fields by their position; NULL if it has no values."""
+    per = records.select("file_id", F.posexplode("codes").alias("pos", "c")).groupBy("file_id", "pos").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    # booleans mixed with anything else are text
+    return per.select("file_id", "pos", F.when((F.col("lo") == 0) & (F.col("hi") > 0), 3).otherwise(F.col("hi")).alias("code"))
 
 
-def profile(entries: DataFrame) -> DataFrame:
-    """(file_id, field, class) over all values of each field in each file; class NULL if it has no values."""
-    long = entries.select("file_id", F.inline("entries")).withColumn("c", value_class(F.col("raw")))
-    per = long.groupBy("file_id", "field").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    # booleans mixed with anything else are text
-    return per.select("file_id", "field", F.element_at(F.array(*map(F.lit, CLASSES)), F.when((F.col("lo") == 0) & (F.col("hi") > 0), 4).otherwise(F.col("hi") + 1)).alias("class"))
+def schemas(headers: DataFrame, records: DataFrame) -> DataFrame:
+    """(file_id, fields, classes): the schema of each file, classes in the order of the fields, NULL where a field has no values."""
+    found = profile(records).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "code"))).alias("m"))
+    joined = headers.select("file_id", "fields").join(found, "file_id", "left")
+    return joined.select("file_id", "fields", F.transform("fields", lambda _, i: F.col("m")[i]).alias("classes"))
+
 
+def wanted(fields: str, target_fields: Column, target_classes: Column) -> Column:
+    """For each of the fields the class that the target schema has for it: 3 where it has none, -1 where it lacks the field."""
+    def want(f: Column) -> Column:
+        at = F.array_position(target_fields, f).cast("int")
+        return F.when(at > 0, F.coalesce(F.get(target_classes, at - 1), F.lit(3))).otherwise(-1)
 
-def rescue(entries: DataFrame, schemas: DataFrame) -> DataFrame:
+    return F.transform(fields, want)
+
+
+def ingested(records: DataFrame, want: Column) -> DataFrame:
+    """records with `kept` (map of the fields whose value fits what is wanted, see wanted()) and `_rescued` (JSON of all others, NULL where there are none)."""
+    def entry(x: Column, i: Column) -> Column:
+        need, have = F.get(want, i), F.get("codes", i)
+        return F.struct(F.get("fields", i).alias("field"), x.alias("raw"), ((need >= 0) & (have.isNull() | (have == need) | (need == 3) | ((need == 2) & (have == 1)))).alias("fit"))
+
+    pairs = lambda fit: F.map_from_entries(F.transform(F.filter("entries", lambda e: e["fit"] if fit else ~e["fit"]), lambda e: F.struct(e["field"], e["raw"])))
+    rows = records.withColumn("entries", F.transform("raw", entry))
+    lost = F.when(F.exists("entries", lambda e: ~e["fit"]), F.to_json(pairs(False), {"ignoreNullFields": "false"}))
+    return rows.withColumn("kept", pairs(True)).withColumn("_rescued", lost).drop("entries")
+
+
+def rescue(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Enforce on each file the schema given for it in schemas (file_id, schema map<field, class>).
 
-    Result: the columns of entries but for `entries`, `kept` (map of the fields that the schema has and whose value fits its class) and `_rescued`
+    Result: the columns of records but for fields, raw and codes, `kept` (map of the fields that the schema has and whose value fits its class) and `_rescued`
     (JSON of all others, NULL where there are none). Nothing is lost: together they hold every entry. A NULL or no value fits every class.
     """
-    order = {c: i for i, c in enumerate(CLASSES)}
-    rank = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
-    joined = entries.join(schemas, "file_id", "left")
-
-    def fits(e: Column) -> Column:
-        want, have = rank[F.col("schema")[e["field"]]], value_class(e["raw"])
-        return F.coalesce(F.map_contains_key(F.coalesce("schema", F.expr("map()").cast("map<string,string>")), e["field"]) & (have.isNull() | want.isNull() | (have == want) | (want == 3) | ((want == 2) & (have == 1))), F.lit(False))
-
-    parts = joined.withColumn("kept", F.map_from_entries(F.filter("entries", fits))).withColumn("left_over", F.filter("entries", lambda e: ~fits(e)))
-    lost = F.when(F.size("left_over") > 0, F.to_json(F.map_from_entries("left_over"), {"ignoreNullFields": "false"}))
-    return parts.withColumn("_rescued", lost).drop("entries", "schema", "left_over")
+    known = F.coalesce("schema", F.expr("map()").cast("map<string,string>"))
+    classes = F.transform(F.map_values(known), lambda c: F.array_position(F.array(*map(F.lit, CLASSES)), c).cast("int") - 1)
+    joined = records.join(schemas, "file_id", "left").withColumn("_want", wanted("fields", F.map_keys(known), classes))
+    return ingested(joined, F.col("_want")).drop("_want", "schema", "fields", "raw", "codes")
 
 
 def promote(rescued: DataFrame, approved: dict[str, tuple[str, str]]) -> DataFrame:
     """Replay rescued values into typed columns. approved: column -> (SQL type, names under which the field occurs, comma-separated, the first first).
 
-    Each column takes the first of its names that `kept` or `_rescued` has a castable value for; what a column took leaves `_rescued`, what
-    can't be cast stays there.
+    Each column takes the first of its names that has a castable value, in `kept` or in `_rescued`; what a column took leaves `_rescued`, what
+    can't be cast, isn't approved or came second stays there. No value is NULL in its column.
     """
-    lost = F.from_json("_rescued", "map<string,string>")
-    df = rescued.withColumn("lost", F.coalesce(lost, F.expr("map()").cast("map<string,string>")))
-    taken = []
-    for name, (kind, aliases) in approved.items():
-        typed = []
-        for alias in aliases.split(","):
-            raw = value_or_null(F.coalesce(F.col("kept")[alias], F.col("lost")[alias]))
-            typed.append(F.when(raw.rlike(NUMBER), raw.try_cast(kind)) if kind in ("double", "int", "bigint") else raw.try_cast(kind))
-            taken.append(F.when(typed[-1].isNotNull(), F.lit(alias)))
-        df = df.withColumn(name, F.coalesce(*typed))
-    rest = F.map_filter(F.map_concat("kept", "lost"), lambda k, _: ~F.array_contains(F.col("taken"), k))
-    df = df.withColumn("taken", F.array_compact(F.array(*taken))).withColumn("rest", rest)
-    return df.withColumn("_rescued", F.when(F.size("rest") > 0, F.to_json("rest"))).drop("kept", "lost", "taken", "rest")
+    text = "map<string,string>"
+    df = rescued.withColumn("lost", F.coalesce(F.from_json("_rescued", text), F.expr("map()").cast(text)))
+    # a field is in one of the two maps; every value is trimmed and read as a number once, columns only pick
+    df = df.withColumn("texts", F.map_filter(F.transform_values(F.map_concat(F.coalesce("kept", F.expr("map()").cast(text)), "lost"), lambda _, v: value_or_null(v)), lambda _, v: v.isNotNull()))
+    df = df.withColumn("numbers", F.transform_values(F.map_filter("texts", lambda _, v: v.rlike(NUMBER)), lambda _, v: v.try_cast("double")))
+
+    def pick(name: str, alias: str) -> Column:
+        kind = approved[name][0]
+        return F.col("numbers")[alias].try_cast(kind) if kind in ("double", "float", "int", "bigint") else F.col("texts")[alias].try_cast(kind)
+
+    values = {name: [(a, pick(name, a)) for a in aliases.split(",")] for name, (_, aliases) in approved.items()}
+    df = df.withColumns({f"_{n}": F.coalesce(*[v for _, v in options]) for n, options in values.items()})
+    taken = [F.coalesce(*[F.when(v.isNotNull(), F.lit(a)) for a, v in options]) for options in values.values()]
+    df = df.withColumn("taken", F.array_compact(F.array(*taken)))
+    df = df.withColumn("rest", F.map_filter("lost", lambda k, _: ~F.array_contains("taken", k)))
+    df = df.withColumn("_rescued", F.when(F.size("rest") > 0, F.to_json("rest", {"ignoreNullFields": "false"})))
+    return df.select(*[c for c in rescued.columns if c not in ("kept", "_rescued")], "_rescued", *[F.col(f"_{n}").alias(n) for n in approved])
 
 
 def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -132,38 +170,42 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     text over all its values); a field without values has no class and changes none. Files tied on written_at follow in order of file_id;
     files without records have the fields of their header. Repeated lines count once. new_field is '' unless renamed.
 
-    The values of fields on one side only come from the rescue column: the later file is ingested against the earlier one's schema, the earlier
-    against the later one's. They are compared by checksums over their common lines, so no two columns are ever joined value by value.
+    Every change comes from the rescue column: each file, header and lines, is ingested against the schemas of its neighbours. Fields the neighbour lacks are rescued
+    and so are new (in the later file) or gone (from the earlier one); where two classes differ, a value of one side doesn't fit the other's and is rescued. Rescued
+    fields are compared by checksums over the lines both files have, so no two columns are joined value by value.
     """
     headers = stage(read_headers(files), "headers")
-    entries = stage(read_records(records, headers), "records")
-    named = headers.select("file_id", F.explode("fields").alias("field"))
-    schema = named.join(profile(entries), ["file_id", "field"], "left")
-    schema = stage(schema, "schemas")
-    pairs = headers.where("prev_file is not null").select(F.col("file_id").alias("later"), F.col("prev_file").alias("earlier"))
-    now = schema.select(F.col("file_id").alias("later"), "field", F.col("class").alias("now"), F.lit(1).alias("in_now"))
-    old = pairs.join(schema.select(F.col("file_id").alias("earlier"), "field", F.col("class").alias("old"), F.lit(1).alias("in_old")), "earlier").drop("earlier")
-    diff = stage(now.join(pairs.select("later"), "later", "left_semi").join(old, ["later", "field"], "full_outer"), "diff")
-
-    gone, new = diff.where("in_now is null"), diff.where("in_old is null")
-    both = gone.select("later").distinct().join(new.select("later").distinct(), "later", "left_semi")
-    asked = both.join(pairs, "later")
-    maps = schema.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.lit("text").alias("class")))).alias("schema"))
-    sides = []
-    for me, other in (("later", "earlier"), ("earlier", "later")):
-        want = asked.select(F.col("later").alias("pair"), F.col(me).alias("file_id"), F.col(other).alias("other")).join(maps.withColumnRenamed("file_id", "other"), "other").drop("other")
-        sides.append(rescue(entries.drop("series_id", "extra"), want.select("file_id", "pair", "schema")).where("pair is not null").select("pair", "line_no", "_rescued"))
-    lines = [s.withColumn("lost", F.from_json("_rescued", "map<string,string>")).select("pair", "line_no", "lost") for s in sides]
-    common = lines[0].withColumnRenamed("lost", "lost_later").join(lines[1].withColumnRenamed("lost", "lost_earlier"), ["pair", "line_no"])
-    values = common.select("pair", "line_no", F.explode(F.array(F.struct(F.lit("later").alias("side"), F.col("lost_later").alias("lost")), F.struct(F.lit("earlier").alias("side"), F.col("lost_earlier").alias("lost")))).alias("s"))
-    values = values.select("pair", "line_no", "s.side", F.explode("s.lost").alias("field", "raw")).withColumn("v", F.coalesce(canonical("raw"), F.lit("\0")))
+    lines = stage(read_records(records, headers), "records")
+    schema = stage(schemas(headers, lines), "schemas")
+    asks = F.explode(F.array_compact(F.array(
+        F.when(F.col("prev_file").isNotNull(), F.struct(F.col("file_id").alias("pair"), F.lit("later").alias("side"), F.col("prev_file").alias("other"))),
+        F.when(F.col("next_file").isNotNull(), F.struct(F.col("next_file").alias("pair"), F.lit("earlier").alias("side"), F.col("next_file").alias("other"))),
+    ))).alias("ask")
+    other = schema.select(F.col("file_id").alias("other"), F.col("fields").alias("other_fields"), "classes")
+    wants = headers.select("file_id", "fields", asks).select("file_id", "fields", "ask.*").join(other, "other").select("file_id", "pair", "side", "other_fields", wanted("fields", F.col("other_fields"), F.col("classes")).alias("want"))
+    # a header is a line without values; lines that end early get none for the rest
+    whole = lines.select("file_id", "line_no", "fields", F.transform("fields", lambda _, i: F.get("raw", i)).alias("raw"), "codes")
+    empty = headers.select("file_id", F.lit(None).cast(whole.schema["line_no"].dataType).alias("line_no"), "fields", F.transform("fields", lambda _: F.lit(None).cast("string")).alias("raw"), F.array().cast("array<int>").alias("codes"))
+    found = ingested(whole.unionByName(empty).join(wants, "file_id"), F.col("want")).where("_rescued is not null")
+    found = stage(found.select("pair", "side", "line_no", "other_fields", "_rescued"), "rescued")
+
+    lost = found.withColumn("lost", F.from_json("_rescued", "map<string,string>")).select("pair", "side", "line_no", "other_fields", "lost")
+    fields = lost.select("pair", "side", "other_fields", F.explode(F.map_keys("lost")).alias("field")).groupBy("pair", "side", "field").agg(F.max(F.array_contains("other_fields", F.col("field"))).alias("shared"))
+    fields = stage(fields, "fields")
+    gone, new = (fields.where(~F.col("shared") & (F.col("side") == s)).select("pair", "field") for s in ("earlier", "later"))
+    both = gone.select("pair").distinct().join(new.select("pair").distinct(), "pair", "left_semi")
+    own = lost.where("line_no is not null").withColumn("lost", F.map_filter("lost", lambda k, _: ~F.array_contains("other_fields", k))).where(F.size("lost") > 0).join(both, "pair", "left_semi")
+    later, earlier = (own.where(F.col("side") == s).select("pair", "line_no", F.col("lost").alias(s)) for s in ("later", "earlier"))
+    sides = F.explode(F.array(F.struct(F.lit("later").alias("side"), F.col("later").alias("lost")), F.struct(F.lit("earlier").alias("side"), F.col("earlier").alias("lost")))).alias("s")
+    values = later.join(earlier, ["pair", "line_no"]).select("pair", "line_no", sides).select("pair", "line_no", "s.side", F.explode("s.lost").alias("field", "raw")).withColumn("v", F.coalesce(canonical("raw"), F.lit("\0")))
     sums = values.groupBy("pair", "side", "field").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("line_no", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "line_no")).alias("y"))
     a, b = (sums.where(F.col("side") == s).select("pair", F.col("field").alias(f"{s}_field"), "n", "x", "y") for s in ("earlier", "later"))
-    renamed = stage(a.join(b, ["pair", "n", "x", "y"]).select(F.col("pair").alias("later"), "earlier_field", "later_field"), "renamed")
-
-    empty = F.lit("")
-    removed = gone.select("later", "field").join(renamed.select("later", F.col("earlier_field").alias("field")), ["later", "field"], "left_anti").select(F.col("later").alias("file_id"), "field", F.lit("removed").alias("change"), empty.alias("new_field"))
-    added = new.select("later", "field").join(renamed.select("later", F.col("later_field").alias("field")), ["later", "field"], "left_anti").select(F.col("later").alias("file_id"), "field", F.lit("added").alias("change"), empty.alias("new_field"))
-    typed = diff.where("in_now = 1 and in_old = 1 and now <> old").select(F.col("later").alias("file_id"), "field", F.lit("type").alias("change"), empty.alias("new_field"))
-    moved = renamed.select(F.col("later").alias("file_id"), F.col("earlier_field").alias("field"), F.lit("renamed").alias("change"), F.col("later_field").alias("new_field"))
-    return moved.unionByName(added).unionByName(removed).unionByName(typed)
+    renamed = stage(a.join(b, ["pair", "n", "x", "y"]).select("pair", "earlier_field", "later_field"), "renamed")
+
+    def rows(df: DataFrame, change: str, field: str = "field", new_field: Column | None = None) -> DataFrame:
+        return df.select(F.col("pair").alias("file_id"), F.col(field).alias("field"), F.lit(change).alias("change"), (F.lit("") if new_field is None else new_field).alias("new_field"))
+
+    removed = gone.join(renamed.select("pair", F.col("earlier_field").alias("field")), ["pair", "field"], "left_anti")
+    added = new.join(renamed.select("pair", F.col("later_field").alias("field")), ["pair", "field"], "left_anti")
+    typed = fields.where("shared").select("pair", "field").distinct()
+    return rows(renamed, "renamed", "earlier_field", F.col("later_field")).unionByName(rows(added, "added")).unionByName(rows(removed, "removed")).unionByName(rows(typed, "type"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeloom.operators import copydiff, drift, dyadic, references
-from takeloom.session import key, table
+from takeloom.session import key, stage, table
 
 #: The measures compared between the two copies of the acoustics.
 MEASURES = ["f0_median_hz", "f0_floor_used", "f0_ceiling_used", "h1_h2_db_mean", "h1s_h2s_db_mean", "h1_a3_db_mean", "shr_median", "jitter_local_pct", "creak_doubling_rate", "f0_n_frames", "creak_sonorant_restricted", "f0_quality_flag"]
@@ -85,11 +85,13 @@ CALIBRATION = {
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All exports as one typed table; what has no approved column, or doesn't fit it, stays in rescued."""
-    headers = drift.read_headers(table(spark, sf_dir, "calibration_files"))
-    entries = drift.read_records(table(spark, sf_dir, "calibration_records"), headers)
-    known = F.create_map(*[F.lit(x) for name, (kind, _) in CALIBRATION.items() for x in (name, "text" if kind == "string" else "decimal")])
-    kept = drift.rescue(entries, headers.select("file_id", known.alias("schema")))
-    return drift.promote(kept, CALIBRATION).withColumnRenamed("_rescued", "rescued").drop("extra")
+    headers = stage(drift.read_headers(table(spark, sf_dir, "calibration_files")), "headers")
+    lines = drift.read_records(table(spark, sf_dir, "calibration_records"), headers)
+    names, classes = F.array(*map(F.lit, CALIBRATION)), F.array(*[F.lit(3 if kind == "string" else 2) for kind, _ in CALIBRATION.values()])
+    wants = headers.select("file_id", drift.wanted("fields", names, classes).alias("want"))
+    kept = drift.ingested(lines.join(wants, "file_id"), F.col("want"))
+    over = F.when(F.size("extra") > 0, F.to_json("extra")).alias("extra")
+    return drift.promote(kept, CALIBRATION).select("file_id", "series_id", "line_no", *CALIBRATION, F.col("_rescued").alias("rescued"), over)
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p5_found": p5_found, "p5_table": p5_table}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from takeloom.plans.core_queries import BREAK_MS, MEASURES
+from takeloom.plans.core_queries import BREAK_MS, CALIBRATION, MEASURES
 
 _ORPHANS = """
 refs as (
@@ -53,7 +53,7 @@ named as (
   select file_id, series_id, d, lag(file_id) over (partition by series_id order by written_at, file_id) as prev,
     list_transform(string_split(header, d), lambda x: lower(trim(trim(trim(x), '"')))) as names from h),
 cells as (
-  select r.file_id, r.line_no, n.names,
+  select r.file_id, r.line_no, r.record, n.names,
     list_transform(regexp_extract_all(n.d || r.record, case n.d when ',' then ',("([^"]|"")*"|[^,]*)' when ';' then ';("([^"]|"")*"|[^;]*)' else '\t("([^"]|"")*"|[^\t]*)' end),
       lambda x: case when x[2] = '"' then replace(x[3:-2], '""', '"') else x[2:] end) as vals
   from (select distinct file_id, line_no, record from calibration_records) r join named n using (file_id)),
@@ -73,7 +73,34 @@ renamed as (
   group by all having count(*) filter (x.v is distinct from y.v) = 0)
 """
 
+_IS_NUMBER = r"regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')"
+
+
+def _promoted(kind: str, names: str) -> str:
+    """The first castable value of a column's names, with the name it came from."""
+    good = "e.v is not null" if kind == "string" else "e.v is not null and " + _IS_NUMBER.replace("(v,", "(e.v,")
+    return "coalesce(" + ", ".join(f"list_filter(entries, lambda e: e.field = '{n}' and {good})[1]" for n in names.split(",")) + ")"
+
+
+#: Every line as typed columns; what no column took is kept as JSON, but for empty values of approved fields.
+_TABLE = f"""
+rows as (
+  select n.file_id, n.series_id, r.line_no, n.names[:len(c.vals)] as names, c.vals[:len(n.names)] as vals
+  from (select file_id, line_no, arg_min(record, record_id) as record from calibration_records group by all) r join named n using (file_id)
+  join cells c on c.file_id = r.file_id and c.line_no is not distinct from r.line_no and c.record = r.record),
+entered as (
+  select file_id, series_id, line_no, list_transform(list_zip(names, vals), lambda z: {{'field': z[1], 'raw': z[2], 'v': case when trim(z[2]) = '' or lower(trim(z[2])) = 'nan' then null else trim(z[2]) end}}) as entries from rows),
+picked as (select *, {", ".join(f"{_promoted(k, a)} as p_{n}" for n, (k, a) in CALIBRATION.items())} from entered),
+rest as (
+  select *, list_filter(entries, lambda e: not list_contains([{", ".join(f"p_{n}.field" for n in CALIBRATION)}], e.field)
+    and not (e.v is null and list_contains([{", ".join(f"'{n}'" for n in CALIBRATION)}], e.field))) as kept_back from picked)
+select file_id, series_id, line_no, {", ".join(f"p_{n}.v as {n}" if k == "string" else f"cast(p_{n}.v as double) as {n}" for n, (k, _) in CALIBRATION.items())},
+  case when len(kept_back) > 0 then cast(to_json(map_from_entries(list_transform(kept_back, lambda e: {{'k': e.field, 'v': e.raw}}))) as varchar) end as rescued, cast(null as varchar) as extra
+from rest
+"""
+
 SQL: dict[str, str] = {
+    "p5_table": f"with {_DRIFT}, {_TABLE}",
     "p1_found": f"with {_ORPHANS} select table_name, row_id, reason from orphans",
     "p1_counts": f"with {_ORPHANS} select table_name, date_trunc('month', moment) as period, reason, count(*) as n_rows, count(distinct k) as n_keys from orphans group by all",
     "p3_found": f"with {_DIFF} select utt_id, measure, kind from found",
