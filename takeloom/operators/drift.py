@@ -113,11 +113,16 @@ def wanted(fields: str, target_fields: Column, target_classes: Column) -> Column
     return F.transform(fields, want)
 
 
+def _fits(need: Column, have: Column) -> Column:
+    """Whether a value of class `have` (NULL: no value) may stand where `need` is wanted."""
+    return have.isNull() | (have == need) | (need == 3) | ((need == 2) & (have == 1))
+
+
 def ingested(records: DataFrame, want: Column) -> DataFrame:
     """records with `kept` (map of the fields whose value fits what is wanted, see wanted()) and `_rescued` (JSON of all others, NULL where there are none)."""
     def entry(x: Column, i: Column) -> Column:
         need, have = F.get(want, i), F.get("codes", i)
-        return F.struct(F.get("fields", i).alias("field"), x.alias("raw"), ((need >= 0) & (have.isNull() | (have == need) | (need == 3) | ((need == 2) & (have == 1)))).alias("fit"))
+        return F.struct(F.get("fields", i).alias("field"), x.alias("raw"), ((need >= 0) & _fits(need, have)).alias("fit"))
 
     pairs = lambda fit: F.map_from_entries(F.transform(F.filter("entries", lambda e: e["fit"] if fit else ~e["fit"]), lambda e: F.struct(e["field"], e["raw"])))
     rows = records.withColumn("entries", F.transform("raw", entry))
@@ -182,19 +187,24 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
         F.when(F.col("next_file").isNotNull(), F.struct(F.col("next_file").alias("pair"), F.lit("earlier").alias("side"), F.col("next_file").alias("other"))),
     ))).alias("ask")
     other = schema.select(F.col("file_id").alias("other"), F.col("fields").alias("other_fields"), "classes")
-    wants = headers.select("file_id", "fields", asks).select("file_id", "fields", "ask.*").join(other, "other").select("file_id", "pair", "side", "other_fields", wanted("fields", F.col("other_fields"), F.col("classes")).alias("want"))
+    own = schema.select("file_id", F.col("classes").alias("own_classes"))
+    wants = headers.select("file_id", "fields", asks).select("file_id", "fields", "ask.*").join(other, "other").join(own, "file_id").withColumn("want", wanted("fields", F.col("other_fields"), F.col("classes")))
+    # a file whose fields are all known and whose classes fit has nothing that could be rescued, so its lines aren't read again
+    may = F.exists(F.arrays_zip("want", "own_classes"), lambda z: (z["want"] < 0) | ~_fits(z["want"], z["own_classes"]))
+    unknown = F.filter("fields", lambda f: ~F.array_contains("other_fields", f)).alias("unknown")
+    wants = stage(wants.where(may).select("file_id", "pair", "side", unknown, "want"), "wants")
     # a header is a line without values; lines that end early get none for the rest
     whole = lines.select("file_id", "line_no", "fields", F.transform("fields", lambda _, i: F.get("raw", i)).alias("raw"), "codes")
     empty = headers.select("file_id", F.lit(None).cast(whole.schema["line_no"].dataType).alias("line_no"), "fields", F.transform("fields", lambda _: F.lit(None).cast("string")).alias("raw"), F.array().cast("array<int>").alias("codes"))
     found = ingested(whole.unionByName(empty).join(wants, "file_id"), F.col("want")).where("_rescued is not null")
-    found = stage(found.select("pair", "side", "line_no", "other_fields", "_rescued"), "rescued")
+    found = stage(found.select("pair", "side", "line_no", "unknown", "_rescued"), "rescued")
 
-    lost = found.withColumn("lost", F.from_json("_rescued", "map<string,string>")).select("pair", "side", "line_no", "other_fields", "lost")
-    fields = lost.select("pair", "side", "other_fields", F.explode(F.map_keys("lost")).alias("field")).groupBy("pair", "side", "field").agg(F.max(F.array_contains("other_fields", F.col("field"))).alias("shared"))
+    lost = found.withColumn("lost", F.from_json("_rescued", "map<string,string>")).select("pair", "side", "line_no", "unknown", "lost")
+    fields = lost.select("pair", "side", "unknown", F.explode(F.map_keys("lost")).alias("field")).groupBy("pair", "side", "field").agg(F.max(~F.array_contains("unknown", F.col("field"))).alias("shared"))
     fields = stage(fields, "fields")
     gone, new = (fields.where(~F.col("shared") & (F.col("side") == s)).select("pair", "field") for s in ("earlier", "later"))
     both = gone.select("pair").distinct().join(new.select("pair").distinct(), "pair", "left_semi")
-    own = lost.where("line_no is not null").withColumn("lost", F.map_filter("lost", lambda k, _: ~F.array_contains("other_fields", k))).where(F.size("lost") > 0).join(both, "pair", "left_semi")
+    own = lost.where("line_no is not null").withColumn("lost", F.map_filter("lost", lambda k, _: F.array_contains("unknown", k))).where(F.size("lost") > 0).join(both, "pair", "left_semi")
     later, earlier = (own.where(F.col("side") == s).select("pair", "line_no", F.col("lost").alias(s)) for s in ("later", "earlier"))
     sides = F.explode(F.array(F.struct(F.lit("later").alias("side"), F.col("later").alias("lost")), F.struct(F.lit("earlier").alias("side"), F.col("earlier").alias("lost")))).alias("s")
     values = later.join(earlier, ["pair", "line_no"]).select("pair", "line_no", sides).select("pair", "line_no", "s.side", F.explode("s.lost").alias("field", "raw")).withColumn("v", F.coalesce(canonical("raw"), F.lit("\0")))
