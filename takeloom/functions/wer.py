@@ -42,30 +42,32 @@ def edit_counts(ref: str, hyp: str) -> Column:
 
 def align_tokens(ref: list[str], hyp: list[str]) -> tuple[int, int, int, str]:
     """(substitutions, deletions, insertions, alignment): w, [-w], [+w], [a->b]; same preferences as edit_counts."""
-    n, m = len(ref), len(hyp)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        above, line = cost[-1], [i]
-        word = ref[i - 1]
-        for j in range(1, m + 1):
-            line.append(min(above[j - 1] + (hyp[j - 1] != word), above[j] + 1, line[j - 1] + 1))
-        cost.append(line)
-    i, j, counts, out = n, m, [0, 0, 0], []
-    while i or j:
-        same = bool(i and j) and ref[i - 1] == hyp[j - 1]
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (not same):
-            i, j = i - 1, j - 1
-            counts[0] += not same
-            out.append(ref[i] if same else f"[{ref[i]}->{hyp[j]}]")
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            i -= 1
-            counts[1] += 1
-            out.append(f"[-{ref[i]}]")
-        else:
-            j -= 1
-            counts[2] += 1
-            out.append(f"[+{hyp[j]}]")
-    return counts[0], counts[1], counts[2], " ".join(reversed(out))
+    # each cell is (cost, substitutions, deletions, insertions, how it was reached): the rule of edit_counts, with the edits carried along as a chain
+    line: list[tuple] = [(0, 0, 0, 0, None)]
+    for word in hyp:
+        c, s, d, i, chain = line[-1]
+        line.append((c + 1, s, d, i + 1, (chain, f"[+{word}]")))
+    for said in ref:
+        c, s, d, i, chain = line[0]
+        fresh = [(c + 1, s, d + 1, i, (chain, f"[-{said}]"))]
+        for diagonal, up, word in zip(line, line[1:], hyp, strict=False):
+            back, miss = fresh[-1], int(word != said)
+            if diagonal[0] + miss <= min(up[0], back[0]) + 1:
+                c, s, d, i, chain = diagonal
+                fresh.append((c + miss, s + miss, d, i, (chain, f"[{said}->{word}]" if miss else said)))
+            elif up[0] <= back[0]:
+                c, s, d, i, chain = up
+                fresh.append((c + 1, s, d + 1, i, (chain, f"[-{said}]")))
+            else:
+                c, s, d, i, chain = back
+                fresh.append((c + 1, s, d, i + 1, (chain, f"[+{word}]")))
+        line = fresh
+    _, s, d, i, chain = line[-1]
+    edits = []
+    while chain is not None:
+        chain, edit = chain
+        edits.append(edit)
+    return s, d, i, " ".join(reversed(edits))
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("s", "d", "i")] + [T.StructField("alignment", T.StringType())]))
@@ -80,15 +82,23 @@ def wer(errors: Column, reference_length: Column) -> Column:
     return F.when(reference_length > 0, errors / reference_length).when(errors == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
 
 
-def counts_sql(ref: str, hyp: str) -> str:
-    """DuckDB SQL of edit_counts() over two columns."""
-    cell = "{{'c': {c}, 's': {s}, 'd': {d}, 'i': {i}}}"
-    first = "list_transform(range(0, len({h}) + 1), lambda j: {{'c': cast(j as bigint), 's': cast(0 as bigint), 'd': cast(0 as bigint), 'i': cast(j as bigint)}})".format(h=hyp)
-    empty = "cast([] as struct(c bigint, s bigint, d bigint, i bigint)[])"
-    left = cell.format(c="a.prev[1].c + 1", s="a.prev[1].s", d="a.prev[1].d + 1", i="a.prev[1].i")
-    miss = f"(case when {hyp}[y.j] = {ref}[x.k] then 0 else 1 end)"
-    dia, up, back = "a.prev[y.j]", "a.prev[y.j + 1]", "b.cells[y.j]"
-    best = (f"case when {dia}.c + {miss} <= least({up}.c, {back}.c) + 1 then " + cell.format(c=f"{dia}.c + {miss}", s=f"{dia}.s + {miss}", d=f"{dia}.d", i=f"{dia}.i")
-            + f" when {up}.c <= {back}.c then " + cell.format(c=f"{up}.c + 1", s=f"{up}.s", d=f"{up}.d + 1", i=f"{up}.i") + " else " + cell.format(c=f"{back}.c + 1", s=f"{back}.s", d=f"{back}.d", i=f"{back}.i + 1") + " end")
+def counts_sql(ref: str, hyp: str, alignment: bool = False) -> str:
+    """DuckDB SQL of edit_counts() over two columns; with alignment, each cell carries its edits too, in `a`."""
+    names = {"c": "bigint", "s": "bigint", "d": "bigint", "i": "bigint", **({"a": "varchar"} if alignment else {})}
+
+    def cell(edit: str, **values: str) -> str:
+        values = {**values, "a": f"{values.pop('a')} || {edit}"} if alignment else {k: v for k, v in values.items() if k != "a"}
+        return "{" + ", ".join(f"'{n}': {v}" for n, v in values.items()) + "}"
+
+    heard = f"list_reduce(list_prepend('', {hyp}[1:j]), lambda p, q: p || ' [+' || q || ']')"
+    first = f"list_transform(range(0, len({hyp}) + 1), lambda j: " + "{" + ", ".join(f"'{n}': {v}" for n, v in {"c": "cast(j as bigint)", "s": "cast(0 as bigint)", "d": "cast(0 as bigint)", "i": "cast(j as bigint)", **({"a": heard} if alignment else {})}.items()) + "})"
+    empty = f"cast([] as struct({', '.join(f'{n} {t}' for n, t in names.items())})[])"
+    w, h = f"{ref}[x.k]", f"{hyp}[y.j]"
+    left = cell(f"' [-' || {w} || ']'", c="p.prev[1].c + 1", s="p.prev[1].s", d="p.prev[1].d + 1", i="p.prev[1].i", a="p.prev[1].a")
+    miss = f"(case when {h} = {w} then 0 else 1 end)"
+    dia, up, back = "p.prev[y.j]", "p.prev[y.j + 1]", "b.cells[y.j]"
+    changed = f"(case when {h} = {w} then ' ' || {w} else ' [' || {w} || '->' || {h} || ']' end)"
+    best = (f"case when {dia}.c + {miss} <= least({up}.c, {back}.c) + 1 then " + cell(changed, c=f"{dia}.c + {miss}", s=f"{dia}.s + {miss}", d=f"{dia}.d", i=f"{dia}.i", a=f"{dia}.a")
+            + f" when {up}.c <= {back}.c then " + cell(f"' [-' || {w} || ']'", c=f"{up}.c + 1", s=f"{up}.s", d=f"{up}.d + 1", i=f"{up}.i", a=f"{up}.a") + " else " + cell(f"' [+' || {h} || ']'", c=f"{back}.c + 1", s=f"{back}.s", d=f"{back}.d", i=f"{back}.i + 1", a=f"{back}.a") + " end")
     inner = f"list_reduce(list_prepend({{'j': cast(0 as bigint), 'cells': [{left}]}}, list_transform(range(1, len({hyp}) + 1), lambda j: {{'j': cast(j as bigint), 'cells': {empty}}})), lambda b, y: {{'j': y.j, 'cells': list_concat(b.cells, [{best}])}}).cells"
-    return f"list_reduce(list_prepend({{'k': cast(0 as bigint), 'prev': {first}}}, list_transform(range(1, len({ref}) + 1), lambda k: {{'k': cast(k as bigint), 'prev': {empty}}})), lambda a, x: {{'k': x.k, 'prev': {inner}}}).prev[-1]"
+    return f"list_reduce(list_prepend({{'k': cast(0 as bigint), 'prev': {first}}}, list_transform(range(1, len({ref}) + 1), lambda k: {{'k': cast(k as bigint), 'prev': {empty}}})), lambda p, x: {{'k': x.k, 'prev': {inner}}}).prev[-1]"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from takeloom.operators import validate
 from takeloom.session import NUMBER, value_or_null
 
 
@@ -15,12 +16,12 @@ def as_number(text: Column) -> Column:
 def compared(v1: Column, v2: Column) -> dict[str, Column]:
     """kind (numeric if both are numbers, else text), delta, pct_change, sign_changed, changed of two values as text (NULL: none).
 
-    pct_change is relative to the size of v1: infinite from 0 to another, 0 from 0 to 0. Zero has no sign. true and false compare without case.
+    pct_change is relative to the size of v1: plus infinity from 0 to any other value, 0 from 0 to 0. Zero has no sign. true and false compare without case.
     """
     a, b = as_number(v1), as_number(v2)
     numeric = a.isNotNull() & b.isNotNull()
     delta = b - a
-    pct = F.when(a != 0, delta / F.abs(a) * 100).when(b == 0, 0.0).when(b > 0, float("inf")).when(b < 0, float("-inf"))
+    pct = F.when(a != 0, delta / F.abs(a) * 100).when(b == 0, 0.0).otherwise(float("inf"))
     same = lambda v: F.when(F.lower(v).isin("true", "false"), F.lower(v)).otherwise(F.coalesce(v, F.lit("")))
     return {
         "kind": F.when(numeric, "numeric").otherwise("text"), "delta": F.when(numeric, delta), "pct_change": F.when(numeric, pct),
@@ -44,6 +45,17 @@ def value_diff(left: DataFrame, right: DataFrame, key: str, measures: list[str])
     return long.select(key, "measure", "v1", "v2", *[c.alias(n) for n, c in compared(F.col("v1"), F.col("v2")).items()])
 
 
+def presence(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side) of the keys that only one side has: their values are in no diff."""
+    return validate.compare_keys(left, right, key).where("side <> 'both'")
+
+
+def distinct_changed(diff: DataFrame, key: str) -> DataFrame:
+    """One row: keys compared, keys with any change, keys with a change of sign, and changed values."""
+    some = lambda c: F.count_distinct(F.when(F.col(c), F.col(key)))
+    return diff.agg(F.count_distinct(key).alias("n_keys"), some("changed").alias("n_changed"), some("sign_changed").alias("n_sign_changed"), F.count_if("changed").alias("n_values"))
+
+
 def most_changed(diff: DataFrame, k: int = 10) -> DataFrame:
     """The k measures that changed for most keys, ties by name."""
     return diff.where("changed").groupBy("measure").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "measure").limit(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,22 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local folder of our own only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where none is set, a folder of our own in local mode; elsewhere executors couldn't read it, so it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="takeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def stage_folder(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder in the shared folder, removed with all it holds when the application ends."""
+    path = f"{stage_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and is removed when the application ends."""
-    spark = df.sparkSession
-    path = f"{stage_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = stage_folder(df.sparkSession, name) + "/rows"
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def key(c: str | Column) -> Column:

@@ -15,7 +15,7 @@ from takeloom.plans import pipeline_queries
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [
-    ("1.5", "-3", ("numeric", -4.5, -300.0, True, True)), ("0", "-1", ("numeric", -1.0, float("-inf"), False, True)), ("0", "0.0", ("numeric", 0.0, 0.0, False, False)), ("0", "2", ("numeric", 2.0, float("inf"), False, True)),
+    ("1.5", "-3", ("numeric", -4.5, -300.0, True, True)), ("0", "-1", ("numeric", -1.0, float("inf"), False, True)), ("0", "0.0", ("numeric", 0.0, 0.0, False, False)), ("0", "2", ("numeric", 2.0, float("inf"), False, True)),
     ("True", "TRUE", ("text", None, None, False, False)), ("x ", "x", ("text", None, None, False, False)), ("nan", None, ("text", None, None, False, False)), ("", "1", ("text", None, None, False, True))])
 def test_value_diff(spark, a, b, want):
     frames = [spark.createDataFrame([("u", v)], "u string, m string") for v in (a, b)]
