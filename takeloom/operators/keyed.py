@@ -27,6 +27,17 @@ def parse_key(df: DataFrame, key: str, pattern: str = UTTERANCE, names: tuple[st
     return df.withColumn("parsed", fits)
 
 
+def built_key(parts: list[str], separator: str = "_", ending: str = "") -> Column:
+    """A composite key or file name of the columns; NULL if any part is."""
+    whole = F.concat(*[x for i, p in enumerate(parts) for x in ((F.lit(separator), F.col(p).cast("string")) if i else (F.col(p).cast("string"),))], F.lit(ending))
+    return whole
+
+
+def missing_keys(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """(key, n): keys of df that the dimension lacks and the rows that have them; a NULL key is missing too."""
+    return df.join(dim.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count("*").alias("n"))
+
+
 def lookup(df: DataFrame, dim: DataFrame, key: str, how: str = "raise") -> DataFrame:
     """N:1 join to a dimension. A key the dimension lacks raises, naming the keys, or with how='left' keeps its row."""
     if how == "raise":
@@ -61,6 +72,22 @@ def one_to_one(frames: dict[str, DataFrame], key: str) -> DataFrame:
     return out
 
 
+def joined_one_to_one(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """The frames joined 1:1 by key, in their order. Unless each has the same keys, once each, it raises, naming the counts.
+
+    Columns whose names an earlier frame has get the frame's name before them (name_column), so nothing is lost or silently overwritten.
+    """
+    counts = {r["frame"]: (r["n_rows"], r["n_keys"]) for r in one_to_one(frames, key).collect()}  # one row per frame
+    out, names = None, set()
+    for name, df in frames.items():
+        df = df.select(key, *[F.col(c).alias(f"{name}_{c}" if c in names else c) for c in df.columns if c != key])
+        names |= set(df.columns)
+        out = df if out is None else out.join(df, key)
+    if len({n for pair in counts.values() for n in pair}) > 1 or out.count() != max(n for n, _ in counts.values()):
+        raise validate.ProblemsFound(f"not 1:1 by {key}: " + ", ".join(f"{f} {n} rows, {k} keys" for f, (n, k) in counts.items()))
+    return out
+
+
 def tokens_overlap(flags: str | Column, wanted: list[str]) -> Column:
     """Whether a ;-joined list of flags holds one of the wanted, as a whole token."""
     c = F.col(flags) if isinstance(flags, str) else flags

@@ -35,6 +35,26 @@ def round_robin(df: DataFrame, pool: str, group: str, key: str, target: int, see
     return some.withColumn("_rank", F.row_number().over(second)).where(F.col("_rank") <= target).drop("_luck", "_turn", "_rank")
 
 
+def first_by(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in the order given."""
+    return df.orderBy(*order).limit(n)
+
+
+def stratum_supply(ranked: DataFrame, pool: str, pools: list[str], target: int) -> DataFrame:
+    """(pool, available, short): how many rows each pool has and lacks; a pool without rows lacks them all."""
+    names = ranked.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, pools))).alias(pool))
+    have = ranked.groupBy(pool).agg(F.count("*").alias("available"))
+    n = F.coalesce("available", F.lit(0).cast("long"))
+    return names.join(have, pool, "left").select(pool, n.alias("available"), F.greatest(F.lit(target) - n, F.lit(0).cast("long")).alias("short"))
+
+
+def stratified(df: DataFrame, measure: str, group: str, key: str, target: int, seed: int) -> DataFrame:
+    """`target` rows of each tercile of the measure, as even over the groups as they allow; a tercile with fewer raises, so no short sample is written."""
+    ranked = terciles(df, measure, key)
+    gate(stratum_supply(ranked, "tercile", ["low", "mid", "high"], target).where("short > 0"), "terciles with too few rows")
+    return round_robin(ranked, "tercile", group, key, target, seed)
+
+
 def top(df: DataFrame, measure: str, tie: str, k: int, descending: bool = True, exact: bool = False) -> DataFrame:
     """The k rows with the highest measure (ties by the lower tie). exact: fewer than k raise. NULL and NaN are no measure."""
     rows = df.where(F.col(measure).isNotNull() & ~F.isnan(measure)).orderBy(F.col(measure).desc() if descending else F.col(measure), tie).limit(k)
@@ -80,6 +100,12 @@ def blind(sample: DataFrame, order: str, key: str, seed: int) -> tuple[DataFrame
     return numbered.select(order), numbered
 
 
+def unblinded(answers: DataFrame, key_table: DataFrame, order: str) -> DataFrame:
+    """Answers given by order number with what the key table knows of them; a number it lacks raises, naming it."""
+    gate(answers.select(order).join(key_table.select(order), order, "left_anti"), "answers without a key")
+    return answers.join(key_table, order)
+
+
 def union_of_strata(strata: dict[str, DataFrame], key: str, total: int | None = None) -> DataFrame:
     """All strata in one frame with their names; a key in two strata, or another total than asked for, raises."""
     out = reduce(DataFrame.unionByName, [df.withColumn("stratum", F.lit(n)) for n, df in strata.items()])

@@ -32,9 +32,9 @@ def describe(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     return rows.rollup(*group).agg(*aggs) if len(group) == 1 else rows.groupBy(*group).agg(*aggs)
 
 
-def pooled(df: DataFrame, group: list[str], errors: dict[str, str], length: str) -> DataFrame:
-    """Sums of errors over sums of lengths per group: rates of the pool, not means of rates."""
-    return df.groupBy(*group).agg(F.sum(length).alias("reference_length"), *[F.try_divide(F.sum(c).cast("double"), F.sum(length)).alias(n) for n, c in errors.items()])
+def pooled(df: DataFrame, group: list[str], errors: dict[str, str], length: str, also: dict[str, Column] | None = None) -> DataFrame:
+    """Sums of errors over sums of lengths per group: rates of the pool, not means of rates; and other aggregates of the same pass."""
+    return df.groupBy(*group).agg(F.sum(length).alias("reference_length"), *[F.try_divide(F.sum(c).cast("double"), F.sum(length)).alias(n) for n, c in errors.items()], *[c.alias(n) for n, c in (also or {}).items()])
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from takeloom.operators import ordered
+from takeloom.operators import ordered, validate
 
 #: FIXED VALUES: limits of a clip in seconds, and what is added on both sides.
 SHORTEST, LONGEST, PAD = 0.5, 12.0, 0.150
@@ -32,11 +32,30 @@ def adjacent_overlaps(df: DataFrame, keys: list[str], id_col: str, start: str, e
     return near.where(F.col(start) < F.col(f"_prev.{end}")).select(*keys, F.col(f"_prev.{id_col}").alias("first_id"), F.col(id_col).alias("second_id"))
 
 
+def take_report(clips: DataFrame, passes: DataFrame, session: str, pass_col: str, item: str, id_col: str, start: str, end: str) -> DataFrame:
+    """Every problem of every take: (session, pass, item, id, category).
+
+    unknown_pass: the pass is none of `passes`, which marks all rows of the take and stops other checks of it. missing, duplicate: items another take of the session has and this one lacks (no id), or has
+    more than once. missing_boundary, non_positive, out_of_range, and overlap, for both rows of a pair of neighbours.
+    """
+    take = [session, pass_col]
+    known = F.col("_known").isNotNull()
+    rows = clips.select(*take, item, id_col, start, end).join(passes.select(pass_col).distinct().withColumn("_known", F.lit(True)), pass_col, "left")
+    unknown = rows.where(~known).select(*take, item, id_col, F.lit("unknown_pass").alias("category"))
+    good = rows.where(known).drop("_known")
+    named = good.where(F.col(item).isNotNull())
+    cover = validate.coverage(named, named.select(session, item), [session], take, item).select(*take, item, F.lit(None).cast(clips.schema[id_col].dataType).alias(id_col), F.col("issue").alias("category"))
+    lengths = good.select(*take, item, id_col, duration_issue(start, end).alias("category")).where("category is not null")
+    pairs = adjacent_overlaps(good, take, id_col, start, end).select(F.explode(F.array("first_id", "second_id")).alias(id_col)).distinct()
+    overlaps = good.join(pairs, id_col).select(*take, item, id_col, F.lit("overlap").alias("category"))
+    return unknown.unionByName(cover).unionByName(lengths).unionByName(overlaps)
+
+
 def running_overlaps(df: DataFrame, keys: list[str], id_col: str, start: str, end: str) -> DataFrame:
     """Rows that start before the furthest end of any earlier row of their keys, with that end as `reach`."""
     order = [start, id_col]
     rows = ordered.running(ordered.ranged(df.where(usable(start, end)).select(*keys, id_col, start, end), keys, order), keys, order, end, "max", "_most")
-    near = ordered.neighbours(ordered.ranged(rows.drop(ordered.PART), keys, order), keys, order, ["_most"])
+    near = ordered.neighbours(rows, keys, order, ["_most"])
     return near.where(F.col(start) < F.col("_prev._most")).select(*keys, id_col, F.col("_prev._most").alias("reach"))
 
 
@@ -58,7 +77,7 @@ def filled(df: DataFrame, keys: list[str], id_col: str, start: str, end: str, la
     spans = df.where(usable(start, end)).select(*keys, id_col, start, end, label)
     order = [start, id_col]
     rows = ordered.running(ordered.ranged(spans, keys, order), keys, order, end, "max", "_most")
-    near = ordered.neighbours(ordered.ranged(rows.drop(ordered.PART), keys, order), keys, order, ["_most"])
+    near = ordered.neighbours(rows, keys, order, ["_most"])
     before = F.coalesce(F.col("_prev._most"), F.lit(0.0))
     own = F.struct(F.when(F.col(start) < before, "overlap").otherwise("span").alias("kind"), F.col(start).alias("start"), F.col(end).alias("end"), F.col(label).alias("label"))
     gap = F.when(F.col(start) > before, F.struct(F.lit("gap").alias("kind"), before.alias("start"), F.col(start).alias("end"), F.lit("").alias("label")))
@@ -81,7 +100,7 @@ def merged_fragments(df: DataFrame, keys: list[str], order: list[str], start: st
     # adding 1e-9 keeps a boundary at just the tolerance in, whatever the rounding of the difference
     good = asked.join(want, [*keys, "_cell"]).where(F.abs(F.col("b") - F.col("boundary")) <= tolerance + 1e-9).select(*keys, "b").distinct().withColumn("_expected", F.lit(True))
     marked = near.withColumn("b", F.col("_prev")[end]).join(good, [*keys, "b"], "left").withColumn("_new", F.when(F.col("_prev").isNull() | F.col("_expected"), 1).otherwise(0).cast("long"))
-    marked = ordered.running(ordered.ranged(marked.drop("_prev", "_next", "b", "_expected", ordered.PART), keys, order), keys, order, "_new", "sum", "_island")
+    marked = ordered.running(marked.drop("_prev", "_next", "b", "_expected"), keys, order, "_new", "sum", "_island")
     out = marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.min(F.trim(label)).alias(label), F.count("*").alias("n"), (F.countDistinct(F.trim(label)) > 1).alias("conflict"))
     return out.drop("_island")
 
@@ -144,8 +163,8 @@ def island_runs(df: DataFrame, keys: list[str], order: list[str], label: str) ->
     """Runs of equal labels in order: keys, label, first and last value of order[0], n."""
     rows = ordered.ranged(df.select(*keys, *order, label), keys, order)
     near = ordered.neighbours(rows, keys, order, [label])
-    near = near.withColumn("_new", F.when(F.col("_prev").isNull() | ~F.col(f"_prev.{label}").eqNullSafe(F.col(label)), 1).otherwise(0).cast("long")).drop("_prev", "_next", ordered.PART)
-    marked = ordered.running(ordered.ranged(near, keys, order), keys, order, "_new", "sum", "_run")
+    near = near.withColumn("_new", F.when(F.col("_prev").isNull() | ~F.col(f"_prev.{label}").eqNullSafe(F.col(label)), 1).otherwise(0).cast("long")).drop("_prev", "_next")
+    marked = ordered.running(near, keys, order, "_new", "sum", "_run")
     return marked.groupBy(*keys, "_run").agg(F.min(label).alias(label), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n")).drop("_run")
 
 

@@ -91,7 +91,12 @@ def applied(value: Column, threshold: float, direction: str) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), test)
 
 
+def winners(best: DataFrame, component: str = "component", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(component, threshold) without the excluded and those no better than always saying yes."""
+    return best.where(~F.col("degenerate") & ~F.col(component).isin(*exclude, "")).select(component, "threshold")
+
+
 def winning_settings(best: DataFrame, component: str = "component", exclude: tuple[str, ...] = ()) -> dict[str, float]:
     """Threshold per component, without the excluded and those no better than always saying yes."""
-    rows = best.where(~F.col("degenerate") & ~F.col(component).isin(*exclude, "")).select(component, "threshold").orderBy(component).collect()  # one row per component
+    rows = winners(best, component, exclude).orderBy(component).collect()  # one row per component
     return {r[0]: r[1] for r in rows}

@@ -26,6 +26,18 @@ def at_least(df: DataFrame, n: int, what: str) -> None:
         raise ProblemsFound(f"{what}: {have} rows, {n} needed")
 
 
+def exactly(df: DataFrame, n: int, what: str) -> None:
+    """Raise unless df has n rows; reads no more than one beyond."""
+    have = df.limit(n + 1).count()
+    if have != n:
+        raise ProblemsFound(f"{what}: {'more than ' + str(n) if have > n else have} rows, {n} needed")
+
+
+def wrong_sizes(df: DataFrame, group: list[str], n: int) -> DataFrame:
+    """Groups that don't have n rows, with how many they have."""
+    return df.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") != n)
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, and how often. NULL keys count as equal."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

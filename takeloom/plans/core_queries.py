@@ -46,8 +46,8 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def milliseconds(c: str):
-    """Whole milliseconds of seconds; NULL for what is no finite number."""
-    return F.when(~F.isnan(c) & (F.abs(c) < 1e12), F.round(F.col(c) * 1000).cast("long"))
+    """Whole milliseconds of seconds; NULL for NaN, and for what no BIGINT of the blocks holds (2^62 ms, 146 million years, and more)."""
+    return F.when(~F.isnan(c) & (F.abs(c) < 4.6e15), F.round(F.col(c) * 1000).cast("long"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

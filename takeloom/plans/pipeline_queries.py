@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takeloom.functions import text, wer
-from takeloom.operators import dyadic, keyed, mixed, ordered, scoring, selection, sequence, stats, timeline, tuning, validate, versions
+from takeloom.operators import dyadic, keyed, mixed, ordered, reports, rules, scoring, selection, sequence, stats, timeline, tuning, validate, versions
 from takeloom.plans.core_queries import MEASURES
-from takeloom.session import key, stage_root, table
+from takeloom.session import key, stage, stage_folder, table
 from takeloom.sources import files
 from takeloom.streaming import resume
 
@@ -19,6 +18,9 @@ from takeloom.streaming import resume
 HEAVY = ["no_pitch", "heavy_repair", "octave_disagreement"]
 SEEDS = {"A_modal": 20270607, "B_natural": 20270608, "C_creak": 20270609}
 TAKE = ["session", "pass"]
+#: What a document has to be, and how long at most; kinds that lost something on their way.
+CONFORM = {"lang": "en", "doc_kind": "log"}, {"n_chars": 2000}
+LOSSY = ["forum", "mail", "note"]
 NUMBERS = [m for m in MEASURES if m not in ("creak_sonorant_restricted", "f0_quality_flag", "f0_n_frames")]
 
 
@@ -55,14 +57,17 @@ def _timed(s: SparkSession, d: str) -> DataFrame:
 
 def inventory_conformance(s: SparkSession, d: str) -> DataFrame:
     """Rows per source, those that conform to all three demands, and those of a lossy kind."""
-    conform = F.coalesce((F.col("lang") == "en") & (F.col("doc_kind") == "log") & (F.col("n_chars") <= 2000), F.lit(False))
-    lossy = F.coalesce(F.col("doc_kind").isin("forum", "mail", "note"), F.lit(False))
-    return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(conform).alias("n_conforming"), F.count_if(lossy).alias("n_lossy"))
+    return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(rules.conforms(*CONFORM)).alias("n_conforming"), F.count_if(rules.one_of("doc_kind", LOSSY)).alias("n_lossy"))
+
+
+def nonconforming_documents(s: SparkSession, d: str) -> DataFrame:
+    """Documents that fail the demands, and which, in one text."""
+    return rules.nonconforming(table(s, d, "documents").select("doc_id", "lang", "doc_kind", "n_chars"), *CONFORM).select("doc_id", F.array_join("failed", ",").alias("failed"))
 
 
 def duplicate_text_collisions(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").where("text is not null").select("doc_id", F.md5("text").alias("digest"))
-    return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("n > 1")
+    docs = table(s, d, "documents").where("text is not null").select(F.md5("text").alias("stem"), F.col("doc_id").alias("path"))
+    return files.stem_collisions(docs).toDF("digest", "n", "first_doc", "last_doc")
 
 
 def stale_annotations(s: SparkSession, d: str) -> DataFrame:
@@ -92,15 +97,33 @@ def flag_tokens_overlap(s: SparkSession, d: str) -> DataFrame:
 
 def review_queue(s: SparkSession, d: str) -> DataFrame:
     """Clips that need review, with how sure they are and their script."""
-    ratio, flag = F.col("match_ratio"), F.coalesce(F.col("flag"), F.lit(""))
-    sure = F.when(F.coalesce(ratio, F.lit(0.0)) == 0, "unmatched").when(ratio < 0.8, "low_confidence").otherwise("ok")
-    rows = _clips(s, d).where((F.coalesce(ratio, F.lit(0.0)) < 1.0) | (flag != "ok")).withColumn("sure", sure)
+    rows = _clips(s, d).where(rules.needs_review("match_ratio", "flag")).withColumn("sure", rules.confidence("match_ratio"))
     return keyed.lookup(rows, _items(s, d).select("item_id", F.col("text").alias("script_text")), "item_id", how="left").select("seg_id", "session", "pass", "item_id", "match_ratio", "sure", "script_text")
 
 
 def finalize_gate(s: SparkSession, d: str) -> DataFrame:
     """Clips that stop a take from being finished: no script and a low ratio."""
-    return review_queue(s, d).where((F.trim(F.coalesce("script_text", F.lit(""))) == "") & (F.coalesce("match_ratio", F.lit(0.0)) < 0.85)).select("seg_id", "session", "pass", "item_id")
+    return review_queue(s, d).where(rules.unfinished("script_text", "match_ratio")).select("seg_id", "session", "pass", "item_id")
+
+
+def review_order(s: SparkSession, d: str) -> DataFrame:
+    """The review queue with each clip's place, worst ratio first."""
+    rows = review_queue(s, d).join(_clips(s, d).select("seg_id", "position"), "seg_id")
+    return reports.worst_first(rows, "match_ratio", ["pass", "session", "position", "seg_id"]).select("seg_id", "match_ratio", "rank")
+
+
+def flagged_report(s: SparkSession, d: str) -> DataFrame:
+    """Flagged clips only, worst ratio first."""
+    return reports.flagged_first(_clips(s, d), "flag", "match_ratio", ["seg_id"]).select("seg_id", "flag", "match_ratio", "rank")
+
+
+def flag_counts(s: SparkSession, d: str) -> DataFrame:
+    return reports.value_counts(_clips(s, d), ["flag", "pass"])
+
+
+def dropped_rates(s: SparkSession, d: str) -> DataFrame:
+    """Per pass the utterances, and those without a rate, which no tercile holds."""
+    return reports.kept_and_dropped(_sample(s, d), "creak_doubling_rate", ["pass"])
 
 
 def _deliveries(s: SparkSession, d: str) -> DataFrame:
@@ -110,21 +133,72 @@ def _deliveries(s: SparkSession, d: str) -> DataFrame:
 
 def reference_fallback(s: SparkSession, d: str) -> DataFrame:
     """The verbatim text where there is one, else the script; corrected: whether they differ."""
-    verbatim = F.when(F.trim(F.coalesce("last_text", F.lit(""))) != "", F.col("last_text")).otherwise(F.col("script_text"))
+    verbatim = rules.filled_or("last_text", "script_text")
     return _deliveries(s, d).select("item_id", verbatim.alias("verbatim_text"), (~verbatim.eqNullSafe(F.col("script_text"))).alias("was_corrected"))
 
 
 def copy_paste_rate(s: SparkSession, d: str) -> DataFrame:
     """Share of filled texts that are just the script, per type, and whether that is too many."""
-    filled = F.trim(F.coalesce("last_text", F.lit(""))) != ""
-    same = filled & F.col("last_text").eqNullSafe(F.col("script_text"))
-    rate = F.coalesce(F.try_divide(F.count_if(same).cast("double"), F.count_if(filled)), F.lit(0.0))
-    return _deliveries(s, d).groupBy("item_type").agg(F.count_if(filled).alias("n_filled"), F.count_if(same).alias("n_same"), rate.alias("rate"), (rate > 0.2).alias("too_many"))
+    return rules.copied_share(_deliveries(s, d), ["item_type"], "last_text", "script_text")
+
+
+def built_file_names(s: SparkSession, d: str) -> DataFrame:
+    """The clip file of each segment: session, pass and item joined, with the ending."""
+    return _clips(s, d).select("seg_id", keyed.built_key(["session", "pass", "item_id"]).alias("utt_id"), keyed.built_key(["session", "pass", "item_id"], ending=".wav").alias("file_name"))
+
+
+def block_names(s: SparkSession, d: str) -> DataFrame:
+    """Takes from the names of their block files, prefix and suffix stripped; a name that doesn't fit has none."""
+    names = _clips(s, d).select(F.concat("session", F.lit("_pass"), "pass", F.lit("_block")).alias("name")).distinct()
+    return keyed.parse_key(names, "name", keyed.BLOCK, ("session", "pass"))
+
+
+def first_utterances(s: SparkSession, d: str) -> DataFrame:
+    return selection.first_by(_sample(s, d).select("utt_id", "pass"), ["utt_id"], 100)
 
 
 # keyed joins and validation
 
 
+def customer_nations(s: SparkSession, d: str) -> DataFrame:
+    """Every customer with its nation; one whose nation is unknown stops the run."""
+    dim = table(s, d, "nation").select("n_nationkey", "n_name").withColumnRenamed("n_nationkey", "c_nationkey")
+    return keyed.lookup(table(s, d, "customer").select("c_custkey", "c_nationkey"), dim, "c_nationkey").select("c_custkey", "n_name")
+
+
+def unmatched_items(s: SparkSession, d: str) -> DataFrame:
+    """Items that orders name and no delivery holds, with the orders that do."""
+    orders = table(s, d, "stimulus_orders").select(key("item_id").alias("item_id")).where("item_id <> ''")
+    return keyed.missing_keys(orders, _items(s, d), "item_id")
+
+
+def joined_one_to_one(s: SparkSession, d: str) -> DataFrame:
+    """Utterances that sample, annotation and measures all have, joined 1:1; a column that clashes has its frame's name before it."""
+    frames = {"sample": _sample(s, d).select("utt_id", "pass", "creak_doubling_rate"), "hand": _hand(s, d).select("utt_id", "pass", "n_tokens"), "measured": _acoustics(s, d, measures=["creak_doubling_rate", "f0_n_frames"])}
+    both = reduce(lambda a, b: a.join(b, "utt_id", "left_semi"), [f.select("utt_id") for f in frames.values()])
+    both = stage(both, "common")
+    return keyed.joined_one_to_one({n: f.join(both, "utt_id", "left_semi") for n, f in frames.items()}, "utt_id")
+
+
+def odd_pass_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions that don't have a take for each of the three passes and no other."""
+    return validate.exact_labels(_clips(s, d).select("session", "pass").distinct(), ["session"], "pass", ["a_modal", "b_natural", "c_creak"])
+
+
+def list_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Orders of a list that don't have exactly a hundred rows."""
+    rows = table(s, d, "stimulus_orders").select("list_id", key("pass").alias("pass"))
+    return validate.wrong_sizes(rows, ["list_id", "pass"], 100)
+
+
+def unblinded(s: SparkSession, d: str) -> DataFrame:
+    """What annotators gave by order number alone, brought back to utterance and pass."""
+    rows = _sample(s, d).select("utt_id", "pass")
+    shown, undo = selection.blind(rows, "annotation_order", "utt_id", 20270607)
+    answers = shown.withColumn("answer", F.col("annotation_order") % 3)
+    return selection.unblinded(answers, undo, "annotation_order")
+
+
 def manifest_join_with_errors(s: SparkSession, d: str) -> DataFrame:
     """Each sampled utterance with the first check it fails: its key, its item, its annotation, its pass."""
     rows = keyed.parse_key(_sample(s, d).withColumnRenamed("pass", "said_pass"), "utt_id", r"^([^_]+)_(.+)_([cdf]\d{3,})$")
@@ -188,6 +262,28 @@ def interval_issues(s: SparkSession, d: str) -> DataFrame:
     return lengths.unionByName(both)
 
 
+def take_report(s: SparkSession, d: str) -> DataFrame:
+    """Every problem of every take: unknown passes, coverage, durations and overlaps."""
+    passes = table(s, d, "stimulus_orders").select(key("pass").alias("pass")).where("pass <> ''")
+    return timeline.take_report(_clips(s, d), passes, "session", "pass", "item_id", "seg_id", "start_sec", "end_sec")
+
+
+def clip_texts(s: SparkSession, d: str) -> DataFrame:
+    """The items of flagged clips, read in order into the good stretches their middles lie in or next to."""
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    clips = _timed(s, d).select("seg_id", *TAKE, "flag", "item_id", ms("start_sec").alias("start_ms"), ms("end_sec").alias("end_ms"))
+    good = F.coalesce(F.col("flag") == "ok", F.lit(False))
+    periods = dyadic.merged_intervals(clips.where(good), TAKE).where("kind = 'period'").select(*TAKE, "start_ms", "end_ms")
+    return timeline.read_words(periods, clips.where(~good & F.col("item_id").isNotNull()), TAKE, "start_ms", "end_ms", "item_id", "seg_id")
+
+
+def speech_rates(s: SparkSession, d: str) -> DataFrame:
+    """Words a second of each clip whose item is known; none for a clip without length."""
+    words = _items(s, d).select("item_id", F.size(text.normalize("text")).alias("n_words")).where("n_words >= 0")
+    rows = _timed(s, d).join(words, "item_id")
+    return rows.select("seg_id", F.round(F.try_divide(F.col("n_words").cast("double"), F.col("end_sec") - F.col("start_sec")), 6).alias("words_per_sec"))
+
+
 def running_overlaps(s: SparkSession, d: str) -> DataFrame:
     return timeline.running_overlaps(_timed(s, d), TAKE, "seg_id", "start_sec", "end_sec").select("seg_id", *TAKE, "reach")
 
@@ -252,6 +348,16 @@ def tercile_roundrobin_sample(s: SparkSession, d: str) -> DataFrame:
     return selection.round_robin(ranked, "tercile", "pass", "utt_id", 20, 20270607).select("utt_id", "pass", "tercile")
 
 
+def stratified_sample(s: SparkSession, d: str) -> DataFrame:
+    """Thirty utterances of each tercile; too few in one of them would stop the run."""
+    return selection.stratified(_sample(s, d).where("pass is not null"), "creak_doubling_rate", "pass", "utt_id", 30, 20270607).select("utt_id", "pass", "tercile")
+
+
+def stratum_supply(s: SparkSession, d: str) -> DataFrame:
+    ranked = selection.terciles(_sample(s, d).where("pass is not null"), "creak_doubling_rate", "utt_id")
+    return selection.stratum_supply(ranked, "tercile", ["low", "mid", "high"], 1_000)
+
+
 def annotation_order(s: SparkSession, d: str) -> DataFrame:
     return selection.blind(_sample(s, d).select("utt_id"), "annotation_order", "utt_id", 20270607)[1]
 
@@ -267,7 +373,7 @@ def topk_threshold_exclude(s: SparkSession, d: str) -> DataFrame:
 
 def topk_forced(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_acctbal")
-    forced = [r[0] for r in rows.orderBy("c_custkey").limit(2).collect()]
+    forced = [r[0] for r in selection.first_by(rows.select("c_custkey"), ["c_custkey"], 2).collect()]  # the two rows that are forced
     return selection.top_with_forced(rows, "c_acctbal", "c_custkey", 10, forced)
 
 
@@ -277,8 +383,11 @@ def nearest_median(s: SparkSession, d: str) -> DataFrame:
 
 
 def strata_union(s: SparkSession, d: str) -> DataFrame:
-    parts = [topk_by_measure(s, d).select("utt_id", F.lit("highest").alias("stratum")), nearest_median(s, d).select("utt_id", F.lit("median").alias("stratum"))]
-    return reduce(DataFrame.unionByName, parts).groupBy("utt_id").agg(F.count("*").alias("n_strata"))
+    """The highest by one measure, and of the others those nearest to their pass's median of another: no utterance is in two strata, or the run stops."""
+    highest = stage(topk_by_measure(s, d).select("utt_id"), "highest")
+    others = validate.without(_acoustics(s, d).where("pass is not null"), highest, ["utt_id"])
+    middle = selection.nearest_to_median(others, "pass", "f0_median_hz", "utt_id", 5).select("utt_id")
+    return selection.union_of_strata({"highest": highest, "median": middle}, "utt_id")
 
 
 # text and alignment
@@ -294,11 +403,25 @@ def number_words(s: SparkSession, d: str) -> DataFrame:
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     """Each item's text as the reference, and that of the item with the next number as what was heard."""
-    items = _items(s, d).where(r"item_id rlike '^[cdf]\\d{3,9}$'").select("item_id", F.substring("item_id", 1, 1).alias("kind"), F.expr("int(substr(item_id, 2))").alias("number"), text.normalize("text").alias("tokens"))
+    items = _numbered(_items(s, d)).select("item_id", "kind", "number", text.normalize("text").alias("tokens")).where("tokens is not null")
     # the same number may be written with other leading zeros: the first spelling stands for it
-    one = items.groupBy("kind", "number").agg(F.min_by("tokens", "item_id").alias("tokens"), F.min("item_id").alias("item_id")).where("tokens is not null")
-    after = one.select("kind", (F.col("number") - 1).alias("number"), F.col("tokens").alias("hyp"))
-    return one.join(after, ["kind", "number"]).select("item_id", "kind", F.col("tokens").alias("ref"), "hyp")
+    one = items.groupBy("kind", "number").agg(F.min_by("tokens", "item_id").alias("tokens"), F.min("item_id").alias("item_id"))
+    after = one.select("kind", "number", F.col("tokens").alias("hyp"))
+    return one.withColumn("number", _next_number("number")).join(after, ["kind", "number"]).select("item_id", "kind", F.col("tokens").alias("ref"), "hyp")
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """Items by kind and number, however many digits it has: as text without leading zeros, '' for zero."""
+    rows = items.where(r"item_id rlike '^[cdf]\\d{3,}$'")
+    return rows.withColumn("kind", F.substring("item_id", 1, 1)).withColumn("number", F.regexp_replace(F.expr("substr(item_id, 2)"), "^0+", ""))
+
+
+def _next_number(c: str):
+    """One more, in digits: trailing nines become zeros and the digit before them goes up, a new one being a 1."""
+    nines = F.length(F.regexp_extract(c, "9*$", 0))
+    head = F.expr(f"left({c}, length({c}) - length(regexp_extract({c}, '9*$', 0)))")
+    up = F.when(head == "", F.lit("1")).otherwise(F.concat(F.expr(f"left({c}, length({c}) - length(regexp_extract({c}, '9*$', 0)) - 1)"), (F.substring(head, -1, 1).cast("int") + 1).cast("string")))
+    return F.concat(up, F.repeat(F.lit("0"), nines))
 
 
 def wer_counts(s: SparkSession, d: str) -> DataFrame:
@@ -313,9 +436,10 @@ def wer_alignment(s: SparkSession, d: str) -> DataFrame:
 
 def wer_pooled_by_group(s: SparkSession, d: str) -> DataFrame:
     rows = wer_counts(s, d).withColumn("kind", F.substring("item_id", 1, 1))
-    rate = {n: F.round(F.try_divide(F.sum(c).cast("double"), F.sum("reference_length")), 6).alias(n) for n, c in (("substitution_rate", "substitutions"), ("deletion_rate", "deletions"), ("insertion_rate", "insertions"))}
+    names = {"substitution_rate": "substitutions", "deletion_rate": "deletions", "insertion_rate": "insertions"}
     # rates of the pool and the mean of the rows' own rates in one pass, so that every pair is scored once
-    return rows.groupBy("kind").agg(F.sum("reference_length").alias("reference_length"), *rate.values(), F.round(F.avg("wer"), 6).alias("mean_wer"))
+    out = stats.pooled(rows, ["kind"], names, "reference_length", {"mean_wer": F.avg("wer")})
+    return out.select("kind", "reference_length", *[F.round(c, 6).alias(c) for c in (*names, "mean_wer")])
 
 
 def wer_gap_two_refs(s: SparkSession, d: str) -> DataFrame:
@@ -336,11 +460,53 @@ def scored_two_references(s: SparkSession, d: str) -> DataFrame:
     return out.withColumnsRenamed({"utt_id": "item_id"})
 
 
+def _read_items(s: SparkSession, d: str) -> DataFrame:
+    """Items in blocks of a hundred numbers, their words marked with the item."""
+    rows = _numbered(_items(s, d))
+    spelled = F.transform(text.simple_tokens("text"), lambda w: F.concat("item_id", F.lit(":"), w))
+    block = rows.withColumn("take", F.concat("kind", F.expr("left(number, greatest(length(number) - 2, 0))"))).withColumn("position", F.expr("int(concat('0', right(number, 2)))")).withColumn("tokens", spelled)
+    return block.select("take", "item_id", "position", "tokens")
+
+
+def _heard(rows: DataFrame) -> DataFrame:
+    """What was heard of each block: the words at two a second, each item followed by one word of no item, and the last word of each item at a position divisible by three left out for it."""
+    said = F.when(F.col("position") % 3 == 0, F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0)))).otherwise(F.col("tokens"))
+    words = rows.where("tokens is not null").select("take", "item_id", "position", F.posexplode(F.concat(said, F.array(F.concat(F.lit("um:"), "item_id")))).alias("k", "token"))
+    # items of one position follow each other by id
+    shift = F.row_number().over(Window.partitionBy("take", "position").orderBy("item_id", "k")) - 1
+    at = F.col("position") * 6000.0 + shift / 2
+    return words.select("take", at.alias("start"), (at + 0.375).alias("end"), "token")
+
+
 def sequence_alignment(s: SparkSession, d: str) -> DataFrame:
-    """Items of a block of a hundred in order, aligned with the words of their first deliveries, read at two words a second."""
-    rows = _deliveries(s, d).where(r"item_id rlike '^[cdf]\\d{3,9}$'").select("item_id", F.expr("concat(substr(item_id, 1, 1), int(substr(item_id, 2)) div 100)").alias("take"), F.expr("int(substr(item_id, 2)) % 100").alias("position"), text.simple_tokens("last_text").alias("tokens"), text.simple_tokens("script_text").alias("heard"))
-    words = rows.select("take", F.posexplode("heard").alias("k", "token"), "position").select("take", (F.col("position") * 60.0 + F.col("k") / 2).alias("start"), (F.col("position") * 60.0 + F.col("k") / 2 + 0.4).alias("end"), "token")
-    return sequence.aligned_items(rows.select("take", "item_id", "position", "tokens"), words, "take")
+    rows = stage(_read_items(s, d), "read")
+    return sequence.aligned_items(rows, _heard(rows), "take")
+
+
+def sequence_insertions(s: SparkSession, d: str) -> DataFrame:
+    """Words heard between two items, which are none of theirs."""
+    rows = stage(_read_items(s, d), "read")
+    return sequence.insertions(rows, _heard(rows), "take")
+
+
+def expected_stream(s: SparkSession, d: str) -> DataFrame:
+    rows = _read_items(s, d)
+    return sequence.expected_stream(rows.where("size(tokens) > 0"), "take")
+
+
+def items_without_words(s: SparkSession, d: str) -> DataFrame:
+    return sequence.without_tokens(_read_items(s, d), "take")
+
+
+def simple_words(s: SparkSession, d: str) -> DataFrame:
+    """The plainer words of every delivery."""
+    return table(s, d, "items").select("row_id", F.array_join(text.simple_tokens("text"), " ").alias("words"))
+
+
+def scored_one_reference(s: SparkSession, d: str) -> DataFrame:
+    """The neighbour's text of each item as its hypothesis, against the item's own; a hypothesis without an item stops the run."""
+    pairs = stage(_pairs(s, d).select(F.col("item_id").alias("utt_id"), F.array_join("ref", " ").alias("verbatim_text"), F.array_join("hyp", " ").alias("hypothesis")), "pairs")
+    return scoring.scored(pairs.drop("hypothesis"), pairs.select("utt_id", "hypothesis"), references=("verbatim",)).drop("verbatim_text", "hypothesis")
 
 
 # versions
@@ -348,7 +514,22 @@ def sequence_alignment(s: SparkSession, d: str) -> DataFrame:
 
 def version_diff(s: SparkSession, d: str) -> DataFrame:
     diff = versions.value_diff(_acoustics(s, d, "acoustics_v1"), _acoustics(s, d), "utt_id", MEASURES).where("changed")
-    return diff.select("utt_id", "measure", "kind", F.round("delta", 6).alias("delta"), "sign_changed")
+    return diff.select("utt_id", "measure", "kind", F.round("delta", 6).alias("delta"), F.round("pct_change", 6).alias("pct_change"), "sign_changed")
+
+
+def version_presence(s: SparkSession, d: str) -> DataFrame:
+    """Utterances that only one version measured."""
+    return versions.presence(_acoustics(s, d, "acoustics_v1"), _acoustics(s, d), "utt_id")
+
+
+def header_difference(s: SparkSession, d: str) -> DataFrame:
+    """Columns that only one of the two versions has."""
+    sides = versions.schema_drift(table(s, d, "acoustics_v1"), table(s, d, "acoustics_v2"))
+    return s.createDataFrame([(c, side) for side, names in sides.items() for c in names], "column string, side string")
+
+
+def distinct_changed(s: SparkSession, d: str) -> DataFrame:
+    return versions.distinct_changed(versions.value_diff(_acoustics(s, d, "acoustics_v1"), _acoustics(s, d), "utt_id", MEASURES), "utt_id")
 
 
 def sign_changes(s: SparkSession, d: str) -> DataFrame:
@@ -393,13 +574,27 @@ def threshold_best(s: SparkSession, d: str) -> DataFrame:
 PERCENTS = [float(p) for p in range(1, 51)]
 
 
+def _percentiles(s: SparkSession, d: str) -> DataFrame:
+    return tuning.percentile_grid(_labelled(s, d), "f0_median_hz", "creaky", _acoustics(s, d).where("pass = 'a_modal'"), "f0_median_hz", PERCENTS)
+
+
 def percentile_grid(s: SparkSession, d: str) -> DataFrame:
-    rows = tuning.percentile_grid(_labelled(s, d), "f0_median_hz", "creaky", _acoustics(s, d).where("pass = 'a_modal'"), "f0_median_hz", PERCENTS)
-    return rows.select("percent", *[F.round(c, 6).alias(c) for c in ("cutoff", "precision", "recall", "f1")], "n")
+    return _percentiles(s, d).select("percent", *[F.round(c, 6).alias(c) for c in ("cutoff", "precision", "recall", "f1")], "n")
 
 
 def percentile_plateau(s: SparkSession, d: str) -> DataFrame:
-    return tuning.plateau(percentile_grid(s, d))
+    out = tuning.plateau(_percentiles(s, d))
+    return out.select("percent", "plateau_percent", *[F.round(c, 6).alias(c) for c in ("cutoff", "f1", "plateau_cutoff")])
+
+
+def winning_thresholds(s: SparkSession, d: str) -> DataFrame:
+    """What would be frozen: each component's threshold, but for those no better than always saying yes."""
+    return tuning.winners(threshold_best(s, d))
+
+
+def threshold_applied(s: SparkSession, d: str) -> DataFrame:
+    """Each utterance's verdict by one threshold; none without a value."""
+    return _acoustics(s, d).select("utt_id", tuning.applied(F.col("shr_median"), 0.38, ">").alias("predicted"))
 
 
 def prf_by_group(s: SparkSession, d: str) -> DataFrame:
@@ -431,11 +626,14 @@ def pearson(s: SparkSession, d: str) -> DataFrame:
 
 def ttest(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "lineitem").where("l_linestatus in ('O', 'F')").select("l_linestatus", "l_discount")
-    return stats.t_test(rows, "l_discount", "l_linestatus").select("df", *[F.round(c, 6).alias(c) for c in ("t", "mean_first", "mean_second")])
+    out = stats.t_test(rows, "l_discount", "l_linestatus").withColumn("p", stats.t_p_value("t", F.col("df").cast("double")))
+    return out.select("df", *[F.round(c, 6).alias(c) for c in ("t", "p", "mean_first", "mean_second")])
 
 
 def anova_f(s: SparkSession, d: str) -> DataFrame:
-    return stats.anova(table(s, d, "orders").select("o_orderpriority", "o_totalprice"), "o_totalprice", "o_orderpriority").select(F.round("f", 6).alias("f"), "df_between", "df_within")
+    out = stats.anova(table(s, d, "orders").select("o_orderpriority", "o_totalprice"), "o_totalprice", "o_orderpriority")
+    p = stats.f_p_value("f", F.col("df_between").cast("double"), F.col("df_within").cast("double"))
+    return out.select(F.round("f", 6).alias("f"), F.round(p, 6).alias("p"), "df_between", "df_within")
 
 
 def ols_line(s: SparkSession, d: str) -> DataFrame:
@@ -444,21 +642,24 @@ def ols_line(s: SparkSession, d: str) -> DataFrame:
 
 
 def ols_confidence(s: SparkSession, d: str) -> DataFrame:
-    return stats.ols_band(stats.ols(table(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 1.0, 50.0)
+    band = stats.ols_band(stats.ols(table(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 1.0, 50.0)
+    return band.select("l_returnflag", F.round("x", 6).alias("x"), *[F.round(c, 3).alias(c) for c in ("fit", "low", "high")])
+
+
+def scatter_points(s: SparkSession, d: str) -> DataFrame:
+    """The points of a figure: hand-annotated share against the measured rate, by pass."""
+    return _hand(s, d).select("utt_id", stats.clean("hand_creak_proportion").alias("y")).join(_sample(s, d).select("utt_id", "pass", stats.clean("creak_doubling_rate").alias("x")), "utt_id").where("x is not null and y is not null")
 
 
 def nan_rate(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "acoustics_v2")
-    parts = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(m).isNull() | F.isnan(m)).cast("int").alias("miss")) for m in NUMBERS])).alias("p")
-    return rows.select(parts).groupBy("p.measure").agg(F.round(F.avg("p.miss"), 6).alias("rate"))
+    return stats.nan_rates(table(s, d, "acoustics_v2"), NUMBERS).select("measure", F.round("rate", 6).alias("rate"))
 
 
 def session_means(s: SparkSession, d: str) -> DataFrame:
     """Means per session of two measures, and of one of them by pass."""
     rows = _acoustics(s, d).withColumn("session", F.substring_index("utt_id", "_", 1))
-    aggs = [F.avg(stats.clean("f0_median_hz")).alias("f0"), F.avg(stats.clean("shr_median")).alias("shr"), *[F.avg(F.when(F.col("pass") == p, stats.clean("f0_median_hz"))).alias(f"f0_{p[0]}") for p in ("a_modal", "b_natural", "c_creak")]]
-    names = ["f0", "shr", "f0_a", "f0_b", "f0_c"]
-    return rows.groupBy("session").agg(*aggs).select("session", *[F.round(c, 9).alias(c) for c in names])
+    means = {"f0": F.col("f0_median_hz"), "shr": F.col("shr_median"), **{f"f0_{p[0]}": F.when(F.col("pass") == p, F.col("f0_median_hz")) for p in ("a_modal", "b_natural", "c_creak")}}
+    return stats.group_means(rows, ["session"], means).select("session", *[F.round(c, 9).alias(c) for c in means])
 
 
 def decibels(s: SparkSession, d: str) -> DataFrame:
@@ -466,9 +667,8 @@ def decibels(s: SparkSession, d: str) -> DataFrame:
 
 
 def value_percentiles(s: SparkSession, d: str) -> DataFrame:
-    v = F.when(F.col("value") > 0, F.col("value"))
-    out = table(s, d, "events").groupBy("user_id").agg(F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"), F.round(F.avg((F.col("value") > 0).cast("int")), 6).alias("share"))
-    return out.select("user_id", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "share")
+    out = stats.positive_percentiles(table(s, d, "events"), ["user_id"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, "share")
+    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90", "share")])
 
 
 def mixed_model_crossed(s: SparkSession, d: str) -> DataFrame:
@@ -485,7 +685,7 @@ def _labelled_proportion(s: SparkSession, d: str) -> DataFrame:
 
 def stream_resume_score(s: SparkSession, d: str) -> DataFrame:
     """Items scored from a stream of their file, then again: the second run finds nothing new."""
-    root = f"{stage_root(s).rstrip('/')}/resume-{uuid.uuid4().hex}"
+    root = stage_folder(s, "resume")
     schema = "row_id bigint, n_tokens int"
     source = table(s, d, "items").select("row_id", "text")
     feed = f"{root}/in"

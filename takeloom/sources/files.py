@@ -7,7 +7,7 @@ import wave
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeloom.operators import validate
@@ -58,19 +58,64 @@ def wav_durations(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("path", "content").mapInPandas(read, "path string, duration_sec double, sample_rate int, channels int")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, keys: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, keys: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Delimited text with a header: quotes doubled inside quotes, a byte-order mark ignored, columns by name, blank as NULL, nan as NaN; a value that
-    doesn't fit its type raises. With keys, a repeated key raises too."""
-    options = {"header": True, "escape": '"', "nanValue": "nan", "multiLine": True, "mode": "FAILFAST", "enforceSchema": False, "ignoreLeadingWhiteSpace": False}
+    doesn't fit its type raises. With keys, a repeated key raises too. multi_line: values may hold line ends; a file is then one task, else it is split."""
+    options = {"header": True, "escape": '"', "nanValue": "nan", "multiLine": multi_line, "mode": "FAILFAST", "enforceSchema": False, "ignoreLeadingWhiteSpace": False}
     df = spark.read.options(**options).schema(schema).csv(path)
     if keys:
         validate.gate(validate.duplicates(df, keys), f"repeated key in {path}")
     return df
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, by the file's own header."""
-    return spark.read.options(header=True, escape='"', multiLine=True, inferSchema=False).csv(path)
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, by the file's own header. multi_line as in read_csv()."""
+    return spark.read.options(header=True, escape='"', multiLine=multi_line, inferSchema=False).csv(path)
+
+
+def read_manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of a delimited file, wherever its header has them; records with fewer values than the header are skipped, further columns ignored."""
+    head = spark.read.options(header=True, escape='"').csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in head)
+    return spark.read.options(header=True, escape='"', mode="DROPMALFORMED", columnPruning=False, enforceSchema=False).schema(schema).csv(path).select(*columns)
+
+
+#: What a prober says of a file, as far as it is used: numbers come as text, absent ones as none or empty.
+PROBED = "struct<streams:array<struct<codec_name:string,sample_fmt:string,sample_rate:string,bits_per_raw_sample:string,bits_per_sample:string,channels:string,duration:string,bit_rate:string>>,format:struct<duration:string,bit_rate:string,size:string>>"
+
+
+def probed(c: str) -> list[Column]:
+    """Columns codec_name, sample_fmt, sample_rate, bit_depth, channels, duration_sec, bit_rate and size_bytes of a prober's JSON, '' for what it doesn't say, and `error` for a file without an audio stream.
+
+    The first stream counts; its depth is that of raw samples or else of samples, its duration and bit rate its own or else the container's. 0 is no value.
+    """
+    info = F.from_json(F.col(c), PROBED)
+    stream, box = F.get(info["streams"], 0), info["format"]
+    said = lambda *options: F.coalesce(*[F.when(~o.isin("", "0"), o) for o in options], F.lit(""))
+    plain = lambda n: F.coalesce(stream[n], F.lit("")).alias(n)
+    return [plain("codec_name"), plain("sample_fmt"), plain("sample_rate"), said(stream["bits_per_raw_sample"], stream["bits_per_sample"]).alias("bit_depth"), plain("channels"), said(stream["duration"], box["duration"]).alias("duration_sec"),
+            said(stream["bit_rate"], box["bit_rate"]).alias("bit_rate"), F.coalesce(box["size"], F.lit("")).alias("size_bytes"), F.when(stream.isNull(), "no audio stream").alias("error")]
+
+
+def tidied(df: DataFrame, rounded: dict[str, int], whole: list[str]) -> DataFrame:
+    """A table as a spreadsheet gives it back: columns rounded to the digits they had, numbers that are whole ones cast to int. What is no number is NULL, as is NaN."""
+    number = lambda c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
+    return df.withColumns({c: F.round(number(c), n) for c, n in rounded.items()} | {c: number(c).try_cast("int") for c in whole})
+
+
+def not_made(wanted: DataFrame, made: DataFrame, name: str, stem: str = "stem") -> DataFrame:
+    """Rows of wanted whose file is not among the listed ones, by stem."""
+    return wanted.join(made.select(F.col(stem).alias(name)).distinct(), name, "left_anti")
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, through the file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
 
 
 def lead_columns(df: DataFrame, lead: list[str]) -> DataFrame:
@@ -85,25 +130,45 @@ def write_csv(df: DataFrame, path: str, lead: list[str] | None = None, refuse_em
     (lead_columns(df, lead) if lead else df).write.mode("overwrite").options(header=True, escape='"', quote='"').csv(path)
 
 
+def _lines(path: str) -> list[str]:
+    """The lines of a small settings file, through the file system its path names if a session is there, else from disk."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, encoding="utf-8-sig") as f:
+            return f.read().splitlines()
+    text = spark.read.text(path, wholetext=True).first()
+    return (text[0] if text else "").removeprefix("\ufeff").splitlines()
+
+
+def read_settings(path: str) -> dict[str, str]:
+    """The `name: value` lines of a settings file, values as text without quotes; comments and lists are left out."""
+    pairs = [line.split(" #")[0].split(":", 1) for line in _lines(path) if ":" in line and not line.lstrip().startswith(("#", "- "))]
+    return {k.strip(): v.strip().strip("\"'") for k, v in pairs if v.strip()}
+
+
 def read_labels(path: str, name: str) -> set[str]:
     """The list called name in a settings file of `name:` and `- item` lines; a missing or empty one raises."""
     found: list[str] = []
     inside = False
-    with open(path, encoding="utf-8-sig") as f:
-        for line in f:
-            text = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
-            if not text:
-                continue
-            if text.lstrip().startswith("- "):
-                if inside:
-                    found.append(text.lstrip()[2:].strip().strip("\"'"))
-            else:
-                inside = text.strip() == f"{name}:"
+    for line in _lines(path):
+        text = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+        if not text:
+            continue
+        if text.lstrip().startswith("- "):
+            if inside:
+                found.append(text.lstrip()[2:].strip().strip("\"'"))
+        else:
+            inside = text.strip() == f"{name}:"
     if not found:
         raise validate.ProblemsFound(f"no {name} in {path}")
     return set(found)
 
 
+def as_list(name: str, items: list[str]) -> str:
+    """A list as read_labels() reads it."""
+    return f"{name}:\n" + "".join(f"  - {i}\n" for i in items)
+
+
 def as_settings(values: dict[str, object]) -> str:
     """Settings as `name: value` lines."""
     return "".join(f"{k}: {v}\n" for k, v in values.items())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,24 +32,42 @@ def decode(content: bytes) -> str:
     return content.decode("utf-8-sig")
 
 
-def read_textgrids(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (doc_id: the file's stem, tier, start, end, label, error) of the TextGrids below folder; one row with an error for a file that can't be read."""
+def read_textgrids(spark: SparkSession, folder: str, pattern: str = "*.TextGrid") -> DataFrame:
+    """Rows (doc_id, tier, start, end, label, error) of the TextGrids below folder; one row with an error for a file that can't be read. doc_id is the file's stem, or
+    the value of its folder where that is named doc_id=... as write_textgrids() does."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                own = re.search(r"/doc_id=([^/]*)/", path)
+                stem = unquote(unquote(own[1])) if own else path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 try:
                     out += [(stem, *r, None) for r in parse(decode(content))]
                 except ValueError as e:
                     out.append((stem, None, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TIERS.split(", ")])
 
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.TextGrid").load(folder)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return df.select("path", "content").mapInPandas(rows, TIERS)
 
 
+def repeated_labels(grids: DataFrame) -> DataFrame:
+    """(doc_id, tier, label, n): labels that stand more than once in a tier, where each should name one interval; blank ones don't count."""
+    return grids.where(F.trim("label") != "").groupBy("doc_id", "tier", "label").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def write_textgrids(rows: DataFrame, path: str) -> None:
+    """A TextGrid per doc_id of rows (doc_id, tier, start, end, label), as path/doc_id=.../part files; tiers by name, intervals by start. A document is built whole by one call."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        tiers = {name: [(a, b, label or "") for a, b, label in part.sort_values(["start", "end", "label"])[["start", "end", "label"]].itertuples(index=False)] for name, part in pdf.groupby("tier", sort=True)}
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "value": [text_of(tiers)]})
+
+    built = rows.select("doc_id", "tier", "start", "end", "label").where("doc_id is not null").groupBy("doc_id").applyInPandas(build, "doc_id string, value string")
+    built.write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)
+
+
 def tier(grids: DataFrame, names: list[str]) -> DataFrame:
     """Each document's first tier by the order of names."""
     place = F.array_position(F.array(*map(F.lit, names)), F.col("tier"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def done_before(spark: SparkSession, out: str, schema: str) -> DataFrame:
@@ -17,11 +18,10 @@ def done_before(spark: SparkSession, out: str, schema: str) -> DataFrame:
 
 def resume(todo: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], out: str, schema: str) -> int:
     """Score the keys of todo that out does not hold yet, append them, and say how many were new. Keys repeated in todo are done once."""
-    spark = todo.sparkSession
-    new = todo.dropDuplicates([key]).join(done_before(spark, out, schema).select(key), key, "left_anti")
-    before = done_before(spark, out, schema).count()
-    score(new).write.mode("append").parquet(out)
-    return spark.read.parquet(out).count() - before
+    new = todo.dropDuplicates([key]).join(done_before(todo.sparkSession, out, schema).select(key), key, "left_anti")
+    seen = Observation()
+    score(new).observe(seen, F.count("*").alias("n")).write.mode("append").parquet(out)
+    return seen.get["n"]
 
 
 def resume_stream(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], out: str, schema: str, checkpoint: str):

@@ -14,7 +14,7 @@ from takeloom.streaming import resume, transcribe
 def test_csv(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_bytes('﻿name,x,note\n"say ""hi"", ok",nan,\nb,1.5,"two\nlines"\n'.encode())
-    got = files.read_csv(spark, str(path), "name string, x double, note string", keys=["name"]).orderBy("name").collect()
+    got = files.read_csv(spark, str(path), "name string, x double, note string", keys=["name"], multi_line=True).orderBy("name").collect()
     assert [(r.name, str(r.x), r.note) for r in got] == [("b", "1.5", "two\nlines"), ('say "hi", ok', "nan", None)]
     path.write_text("name,x\na,1\na,2\n")
     with pytest.raises(ProblemsFound):
