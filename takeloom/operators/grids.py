@@ -5,6 +5,8 @@ An utterance is one document of a few hundred intervals, so each is handled whol
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ def gapless(spans: list[tuple[float, float]], start: float, end: float) -> list[
 
 
 def _near(x: float, y: float) -> bool:
-    return abs(x - y) <= TOLERANCE
+    return abs(x - y) <= TOLERANCE + 1e-9  # as in timeline.merged_fragments: a time just the tolerance away is near, whatever its rounding
 
 
 def same_bounds(expected: list[Interval], actual: list[Interval]) -> bool:
@@ -45,18 +47,19 @@ def same_bounds(expected: list[Interval], actual: list[Interval]) -> bool:
 
 def without_extra_bounds(actual: list[Interval], expected: list[Interval]) -> tuple[list[Interval], list[float]]:
     """actual with neighbours joined where the boundary between them is not an expected one, and those boundaries. Neighbours with different labels raise."""
-    times = {round(t, 6) for e in expected for t in e[:2]}
-    out: list[Interval] = []
-    dropped = []
-    for a, b, label in actual:
-        if out and not any(_near(out[-1][1], t) for t in times):
-            if out[-1][2].strip() != label.strip():
-                raise ValueError(f"an extra boundary at {out[-1][1]:.3f} separates {out[-1][2]!r} and {label!r}")
-            dropped.append(out[-1][1])
-            out[-1] = (out[-1][0], b, out[-1][2])
-        else:
-            out.append((a, b, label))
-    return out, dropped
+    wanted = sorted(t for e in expected for t in e[:2])
+
+    def expects(t: float) -> bool:
+        return any(_near(t, w) for w in wanted[bisect_left(wanted, t - 2 * TOLERANCE) : bisect_left(wanted, t + 2 * TOLERANCE)])
+
+    # islands as in timeline.merged_fragments: one begins at the first interval and after each boundary that is expected
+    starts = [k for k in range(len(actual)) if k == 0 or expects(actual[k - 1][1])]
+    islands = [actual[a:b] for a, b in zip(starts, [*starts[1:], len(actual)], strict=True)]
+    for parts in islands:
+        for before, after in zip(parts, parts[1:], strict=False):
+            if before[2].strip() != after[2].strip():
+                raise ValueError(f"an extra boundary at {before[1]:.3f} separates {before[2]!r} and {after[2]!r}")
+    return [(parts[0][0], parts[-1][1], parts[0][2]) for parts in islands], [p[1] for parts in islands for p in parts[:-1]]
 
 
 def measure(phones: list[Interval], creak: list[Interval], wanted: set[str]) -> dict:

@@ -460,7 +460,7 @@ def scored_two_references(s: SparkSession, d: str) -> DataFrame:
     return out.withColumnsRenamed({"utt_id": "item_id"})
 
 
-def _read_items(s: SparkSession, d: str) -> DataFrame:
+def read_items(s: SparkSession, d: str) -> DataFrame:
     """Items in blocks of a hundred numbers, their words marked with the item."""
     rows = _numbered(_items(s, d))
     spelled = F.transform(text.simple_tokens("text"), lambda w: F.concat("item_id", F.lit(":"), w))
@@ -479,23 +479,23 @@ def _heard(rows: DataFrame) -> DataFrame:
 
 
 def sequence_alignment(s: SparkSession, d: str) -> DataFrame:
-    rows = stage(_read_items(s, d), "read")
+    rows = stage(read_items(s, d), "read")
     return sequence.aligned_items(rows, _heard(rows), "take")
 
 
 def sequence_insertions(s: SparkSession, d: str) -> DataFrame:
     """Words heard between two items, which are none of theirs."""
-    rows = stage(_read_items(s, d), "read")
+    rows = stage(read_items(s, d), "read")
     return sequence.insertions(rows, _heard(rows), "take")
 
 
 def expected_stream(s: SparkSession, d: str) -> DataFrame:
-    rows = _read_items(s, d)
+    rows = read_items(s, d)
     return sequence.expected_stream(rows.where("size(tokens) > 0"), "take")
 
 
 def items_without_words(s: SparkSession, d: str) -> DataFrame:
-    return sequence.without_tokens(_read_items(s, d), "take")
+    return sequence.without_tokens(read_items(s, d), "take")
 
 
 def simple_words(s: SparkSession, d: str) -> DataFrame:
@@ -697,4 +697,4 @@ def stream_resume_score(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{root}/out").withColumn("new_again", F.lit(again))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and not name.startswith("_") and getattr(f, "__module__", "") == __name__}
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and not name.startswith("_") and name != "read_items" and getattr(f, "__module__", "") == __name__}

@@ -61,7 +61,7 @@ def wav_durations(spark: SparkSession, folder: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str, keys: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Delimited text with a header: quotes doubled inside quotes, a byte-order mark ignored, columns by name, blank as NULL, nan as NaN; a value that
     doesn't fit its type raises. With keys, a repeated key raises too. multi_line: values may hold line ends; a file is then one task, else it is split."""
-    options = {"header": True, "escape": '"', "nanValue": "nan", "multiLine": multi_line, "mode": "FAILFAST", "enforceSchema": False, "ignoreLeadingWhiteSpace": False}
+    options = {"header": True, "escape": '"', "nanValue": "nan", "multiLine": multi_line, "mode": "FAILFAST", "enforceSchema": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df = spark.read.options(**options).schema(schema).csv(path)
     if keys:
         validate.gate(validate.duplicates(df, keys), f"repeated key in {path}")
@@ -127,7 +127,7 @@ def write_csv(df: DataFrame, path: str, lead: list[str] | None = None, refuse_em
     """Delimited text with a header, quotes doubled. refuse_empty: nothing is written, and raised, if there are no rows."""
     if refuse_empty and df.isEmpty():
         raise validate.ProblemsFound(f"no rows to write to {path}")
-    (lead_columns(df, lead) if lead else df).write.mode("overwrite").options(header=True, escape='"', quote='"').csv(path)
+    (lead_columns(df, lead) if lead else df).write.mode("overwrite").options(header=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def _lines(path: str) -> list[str]:

@@ -10,10 +10,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from takeloom.plans import core_queries, core_sql, pipeline_queries, pipeline_sql
+from takeloom.plans import core_queries, core_sql, file_queries, file_sql, pipeline_queries, pipeline_sql
 
 DATA = "/root/testdata/sf0.001"
-SQL = {**core_sql.SQL, **pipeline_sql.SQL}
+SQL = {**core_sql.SQL, **pipeline_sql.SQL, **file_sql.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", [*core_queries.QUERIES, *pipeline_queries.QUERIES])
+@pytest.mark.parametrize("name", [*core_queries.QUERIES, *pipeline_queries.QUERIES, *file_queries.QUERIES])
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)

@@ -1,44 +1,83 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from takeloom.operators import grids, keyed, scoring, selection, tuning
 from takeloom.operators.validate import ProblemsFound
 from takeloom.sources import files
 
-PHONES = [(0.0, 0.3, "t"), (0.3, 0.6, "a"), (0.6, 0.9, "k"), (0.9, 1.2, "m")]
-BLANK = [(0.0, 0.3, ""), (0.3, 0.6, ""), (0.6, 0.9, ""), (0.9, 1.2, "")]
 SCHEMA = "doc_id string, tier string, start double, end double, label string"
+#: A word of six sounds; those in SOUND are the ones to annotate.
+WORD = [(0.10, 0.22, "s"), (0.22, 0.41, "l"), (0.41, 0.55, "u"), (0.55, 0.73, "p"), (0.73, 0.80, "e"), (0.80, 1.07, "r")]
+SOUND = {"l", "u", "r"}
+TIER = [(0.10, 0.22, ""), (0.22, 0.41, ""), (0.41, 0.55, ""), (0.55, 0.80, ""), (0.80, 1.07, "")]
+
+
+def random_spans(rng, n):
+    """Disjoint spans on a grid of hundredths, some of them touching."""
+    at, out = 0, []
+    for _ in range(n):
+        a = at + rng.choice((0, 0, 3, 8))
+        at = a + rng.randint(1, 9)
+        out.append((a / 100, at / 100))
+    return out, (at + rng.choice((0, 5))) / 100
 
 
-def test_gapless():
-    assert grids.gapless(grids.labelled_spans(PHONES, {"a", "m"}), 0.0, 1.2) == BLANK
-    assert grids.gapless([], 0.0, 1.0) == [(0.0, 1.0, "")] and grids.gapless([], 0.0, 0.0) == []
+def test_gapless_covers_everything():
+    rng = random.Random(4)
+    for _ in range(50):
+        spans, end = random_spans(rng, rng.randint(0, 6))
+        tier = grids.gapless(spans, 0.0, end)
+        assert all(a < b for a, b, _ in tier) and [t[0] for t in tier[1:]] == [t[1] for t in tier[:-1]]
+        assert not tier and end == 0 or (tier[0][0], tier[-1][1]) == (0.0, end)
+        assert {(a, b) for a, b, _ in tier} >= set(spans)
+        covered = {h for a, b in spans for h in range(round(a * 100), round(b * 100))}
+        gaps = {h for a, b, _ in tier if (a, b) not in set(spans) for h in range(round(a * 100), round(b * 100))}
+        assert not covered & gaps and len(covered | gaps) == round(end * 100)
+    assert grids.gapless(grids.labelled_spans(WORD, SOUND), 0.10, 1.07) == TIER
     with pytest.raises(ValueError):
-        grids.gapless([(0.0, 0.5), (0.4, 0.6)], 0.0, 1.0)
+        grids.gapless([(0.0, 0.35), (0.34, 0.5)], 0.0, 1.0)
 
 
-def test_extra_bounds():
-    want = [(0.0, 0.5, ""), (0.5, 1.0, "")]
-    assert grids.without_extra_bounds([(0.0, 0.2, ""), (0.2, 0.5, " "), (0.5, 1.0, "c")], want) == ([(0.0, 0.5, ""), (0.5, 1.0, "c")], [0.2])
+def test_extra_bounds_are_undone():
+    """Cutting intervals of a tier and undoing it gives the tier back; a cut between two labels can't be undone."""
+    rng = random.Random(9)
+    for _ in range(40):
+        spans, end = random_spans(rng, rng.randint(1, 5))
+        want = [(a, b, rng.choice(("", "c"))) for a, b, _ in grids.gapless(spans, 0.0, end)]
+        given, cuts = [], []
+        for a, b, label in want:
+            if b - a > 0.03 and rng.random() < 0.5:
+                cut = round((a + b) / 2, 3)
+                given += [(a, cut, label), (cut, b, f" {label}")]
+                cuts.append(cut)
+            else:
+                given.append((a, b, label))
+        joined, dropped = grids.without_extra_bounds(given, [(a, b, "") for a, b, _ in want])
+        assert dropped == cuts and [(a, b, label.strip()) for a, b, label in joined] == want
     with pytest.raises(ValueError):
-        grids.without_extra_bounds([(0.0, 0.2, ""), (0.2, 0.5, "c"), (0.5, 1.0, "")], want)
+        grids.without_extra_bounds([(0.0, 0.07, "c"), (0.07, 0.3, "")], [(0.0, 0.3, "")])
 
 
 def test_measured(spark):
-    creak = [(0.0, 0.3, ""), (0.3, 0.6, "c"), (0.6, 0.8, ""), (0.8, 0.9, ""), (0.9, 1.2, "")]
-    docs = {"ok": creak, "odd": [(*x[:2], "x") for x in BLANK], "moved": [(0.0, 0.4, ""), (0.4, 0.6, ""), (0.6, 0.9, ""), (0.9, 1.2, "")], "none": []}
-    rows = [(d, "phone", *p) for d in docs for p in PHONES] + [(d, "creak", *c) for d, cs in docs.items() for c in cs]
+    marked = [(a, b, "c" if a in (0.22, 0.80) else "") for a, b, _ in TIER]
+    halved = [*marked[:3], (0.55, 0.68, ""), (0.68, 0.80, ""), marked[4]]
+    docs = {"ok": marked, "halved": halved, "odd": [(a, b, "?") for a, b, _ in TIER], "moved": [(0.10, 0.30, ""), (0.30, 0.41, ""), *TIER[2:]], "none": []}
+    rows = [(d, "phone", *p) for d in docs for p in WORD] + [(d, "creak", *c) for d, cs in docs.items() for c in cs]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r for r in grids.measured(df, {"a", "m"}).collect()}
-    ok = got["ok"]
-    assert (ok.n_tokens, ok.n_creaky, round(ok.proportion, 9), [round(p, 6) for p in ok.positions], ok.merged, ok.error) == (2, 1, 0.5, [0.375], [0.8], None)
+    got = {r.doc_id: r for r in grids.measured(df, SOUND).collect()}
+    share, places = (0.19 + 0.27) / (0.19 + 0.14 + 0.27), [(0.315 - 0.10) / 0.97, (0.935 - 0.10) / 0.97]
+    for name, merged in (("ok", []), ("halved", [0.68])):
+        r = got[name]
+        assert (r.n_tokens, r.n_creaky, round(r.proportion, 9), [round(p, 9) for p in r.positions], r.merged, r.error) == (3, 2, round(share, 9), [round(p, 9) for p in places], merged, None)
     assert "labels" in got["odd"].error and got["moved"].error and "creak" in got["none"].error
     assert grids.measured(df, {"zz"}).where("error is null").count() == 0
-    tiers = grids.annotation_tiers(df.where("doc_id = 'ok'"), {"a", "m"}).orderBy("start").collect()
-    assert [(r.start, r.end, r.label) for r in tiers] == BLANK
-    rest = grids.after_label(df.where("tier = 'phone'").select("doc_id", "end", "label"), "k", spark.createDataFrame([("ok", 1.2), ("odd", 0.905)], "doc_id string, duration double"))
-    assert [tuple(r) for r in rest.collect()] == [("ok", 0.9, 1.2)]
+    tiers = grids.annotation_tiers(df.where("doc_id = 'ok'"), SOUND).orderBy("start").collect()
+    assert [(r.start, r.end, r.label) for r in tiers] == TIER
+    rest = grids.after_label(df.where("tier = 'phone'").select("doc_id", "end", "label"), "e", spark.createDataFrame([("ok", 1.07), ("odd", 0.805)], "doc_id string, duration double"))
+    assert [tuple(r) for r in rest.collect()] == [("ok", 0.80, 1.07)]
 
 
 def test_scored(spark):
