@@ -89,27 +89,26 @@ def merged_intervals(df: DataFrame, keys: list[str], *, top: int = 20, gap_limit
     only those shorter than gap_limit where it is given. Intervals with a NULL key or bound, or an end not after the start, are left out;
     repeated intervals change nothing; an empty table gives no rows; columns besides keys and bounds are ignored.
 
-    Intervals become blocks in the scan's own tasks, already compacted there; blocks are shuffled by entity and superblock (2^top units), so an
-    entity with a third of all rows is spread over its superblocks. What lies across their borders is linked by a window over one row
-    per superblock.
+    Intervals become blocks in the scan's own tasks, are compacted there and travel as stretches, which take less room than their blocks; by entity and superblock
+    (2^top units) they are decomposed and merged again, so an entity with a third of all rows is spread over its superblocks. What lies across their borders is
+    linked by a window over one row per superblock.
     """
     fields = df.select(*keys).schema.fields
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     rows = df.select(*keys, "start_ms", "end_ms").where("end_ms > start_ms").dropna(subset=[*keys, "start_ms", "end_ms"])
 
-    def compact(pdf: pd.DataFrame, block: tuple[np.ndarray, np.ndarray, np.ndarray], names: pd.DataFrame) -> pd.DataFrame:
-        e, lv, ix = merge_siblings(*uncovered(*block), top)
-        out = names.iloc[e].reset_index(drop=True)
-        out["superblock"] = np.where(lv >= top, ix << np.maximum(lv - top, 0), ix >> np.maximum(top - lv, 0))
-        out["level"], out["ix"] = lv, ix
-        return out
-
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 grouped = pdf.groupby(keys, sort=False)
                 names = pdf[keys].iloc[grouped.head(1).index - pdf.index[0]]
-                yield compact(pdf, decompose(grouped.ngroup().to_numpy(), pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy()), names)
+                e, lv, ix = merge_siblings(*uncovered(*decompose(grouped.ngroup().to_numpy(), pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy())), top)
+                superblock = np.where(lv >= top, ix << np.maximum(lv - top, 0), ix >> np.maximum(top - lv, 0))
+                places, place = np.unique(np.stack([e, superblock]), axis=1, return_inverse=True)
+                place, start, end = coalesce_blocks(place.ravel(), lv, ix)
+                out = names.iloc[places[0][place]].reset_index(drop=True)
+                out["superblock"], out["start_ms"], out["end_ms"] = places[1][place], start, end
+                yield out
 
     def stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by, rest = [*keys, "superblock"], None
@@ -117,7 +116,7 @@ def merged_intervals(df: DataFrame, keys: list[str], *, top: int = 20, gap_limit
         def done(pdf: pd.DataFrame) -> pd.DataFrame:
             grouped = pdf.groupby(by, sort=False)
             names = pdf[by].iloc[grouped.head(1).index]
-            e, lv, ix = merge_siblings(*uncovered(grouped.ngroup().to_numpy(), pdf["level"].to_numpy(), pdf["ix"].to_numpy()), top)
+            e, lv, ix = merge_siblings(*uncovered(*decompose(grouped.ngroup().to_numpy(), pdf["start_ms"].to_numpy(), pdf["end_ms"].to_numpy())), top)
             e, start, end = coalesce_blocks(e, lv, ix)
             out = names.iloc[e].reset_index(drop=True)
             out["start_ms"], out["end_ms"] = start, end
@@ -135,7 +134,7 @@ def merged_intervals(df: DataFrame, keys: list[str], *, top: int = 20, gap_limit
         if rest is not None and len(rest):
             yield done(rest.reset_index(drop=True))
 
-    local = rows.mapInPandas(blocks, f"{key_ddl}, superblock long, level long, ix long").repartition(*keys, "superblock").sortWithinPartitions(*keys, "superblock")
+    local = rows.mapInPandas(pieces, f"{key_ddl}, superblock long, start_ms long, end_ms long").repartition(*keys, "superblock").sortWithinPartitions(*keys, "superblock")
     local = stage(local.mapInPandas(stretches, f"{key_ddl}, superblock long, start_ms long, end_ms long"), "stretches")
 
     # link across superblocks: how far the earlier ones reach, and where the stretch that is open at the border began
