@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from takeloom.operators import ordered
 from takeloom.operators.bitmaps import Bitmap
 from takeloom.session import stage
 
@@ -65,6 +66,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, *, period_days: int =
     Keys are compared as given; normalise them first. Nothing is broadcast by force or collected: what is shuffled by key is aggregated before,
     so a key holding a third of the rows is a few rows per period, and the join back to the rows is salted.
     """
+    n_ranges = max(1, (refs.count() + targets.count()) // keys_per_range)  # of all rows, so that file footers answer
     refs = refs.select("table_name", "row_id", "target", "key", "at").where(F.trim("key") != "")
     targets = targets.select("target", "key", "starts_at", "ends_at").where(F.trim("key") != "")
 
@@ -82,7 +84,6 @@ def orphan_references(refs: DataFrame, targets: DataFrame, *, period_days: int =
     events = moments.groupBy("target", "key", period("at").alias("period")).agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends")).select(
         "target", "key", "period", F.lit(None).cast("string").alias("table_name"), "starts", "ends")
     used = refs.groupBy("target", "key", period("at").alias("period"), "table_name").agg(F.sum(zero).alias("starts"), F.sum(zero).alias("ends")).select("target", "key", "period", "table_name", "starts", "ends")
-    n_ranges = max(1, (refs.count() + targets.count()) // keys_per_range)
     facts = events.unionByName(used).withColumn("key_range", F.pmod(F.xxhash64("key"), F.lit(n_ranges)))
     doubtful = stage(facts.groupBy("target", "key_range").applyInPandas(_verdicts, VERDICT), "doubtful")
 
@@ -97,10 +98,12 @@ def orphan_references(refs: DataFrame, targets: DataFrame, *, period_days: int =
     asked = check.groupBy("target", "key", "period", "at").agg(F.max("alive").alias("alive"), F.max("started").alias("started"))
     inside = moments.where("at is not null").withColumn("period", period("at")).groupBy("target", "key", "period", "at").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
     inside = inside.join(asked.select("target", "key", "period").distinct(), ["target", "key", "period"], "left_semi")
-    line = asked.withColumn("starts", zero).withColumn("ends", zero).withColumn("ask", F.lit(True)).unionByName(
-        inside.withColumn("alive", F.lit(None).cast("long")).withColumn("started", F.lit(None).cast("boolean")).withColumn("ask", F.lit(False)))
-    upto = Window.partitionBy("target", "key", "period").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    settled = line.withColumn("up", F.sum("starts").over(upto)).withColumn("down", F.sum("ends").over(upto)).where("ask").select(
+    # one row per moment, counted up over range partitions: the moments of a hot key and period are spread over many tasks
+    keys = ["target", "key", "period"]
+    line = asked.withColumn("ask", F.lit(True)).join(inside, [*keys, "at"], "full_outer").fillna(0, ["starts", "ends"])
+    line = ordered.ranged(line, keys, ["at"])
+    line = ordered.running(ordered.running(line, keys, ["at"], "starts", "sum", "up"), keys, ["at"], "ends", "sum", "down")
+    settled = line.where("ask").select(
         "target", "key", "at", F.when(F.col("alive") + F.col("up") - F.col("down") > 0, F.lit("exists")).when(F.col("started") | (F.col("up") > 0), F.lit("deleted")).otherwise(F.lit("late")).alias("reason"))
     spread = settled.where("reason <> 'exists'").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
     exact = check.join(spread, ["target", "key", "at", "salt"]).select("table_name", "row_id", "key", "at", "reason")
