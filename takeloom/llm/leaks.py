@@ -49,18 +49,18 @@ def nearest_end(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int,
 
 
 class Items:
-    """The items' words as numbers, and the parts to search for."""
+    """The items' words as numbers, and the parts to search for. number: the words of all items, which those of this block are added to."""
 
-    def __init__(self, items: list[tuple[int, str | None]], run: int, one_in: int):
+    def __init__(self, items: list[tuple[int, str | None]], run: int, one_in: int, number: dict[str, int] | None = None):
         self.run = run
-        self.number: dict[str, int] = {}
+        number = {} if number is None else number
         self.ids: list[int] = []
         self.words: list[np.ndarray] = []
         self.most: list[int] = []
         parts: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         longest = (run + 1) // 2  # a run of so many words holds one whole part
         for eval_id, text in items:
-            w = np.array([self.number.setdefault(x, len(self.number) + OTHER + 1) for x in words(text)], dtype=np.int64)
+            w = np.array([number.setdefault(x, len(number) + OTHER + 1) for x in words(text)], dtype=np.int64)
             if not len(w):
                 continue
             most = len(w) // one_in
@@ -91,25 +91,32 @@ class Items:
         return out
 
 
-def shard_leaks(items: Items, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first word, last word) for the documents of one shard."""
-    at, symbols, origin = [], [], []
-    for k, d in enumerate(docs):
-        d = np.append(d, OTHER)  # documents stay apart
-        keep = np.ones(len(d), dtype=bool)
-        keep[1:] = (d[1:] != OTHER) | (d[:-1] != OTHER)  # of other words in a row one is enough
-        symbols.append(d[keep]), origin.append(np.flatnonzero(keep)), at.append(np.full(keep.sum(), k, dtype=np.int64))
-    if not items.parts or not symbols:
-        return
-    text, place, doc = np.concatenate(symbols), np.concatenate(origin), np.concatenate(at)
-    which, position = FMIndex(text).occurrences(items.parts)
-    seen = set()
-    for part, k, p in zip(which.tolist(), doc[position].tolist(), place[position].tolist(), strict=True):
-        for item, offset in items.uses[part]:
-            if (k, item, p - offset) not in seen:
-                seen.add((k, item, p - offset))
-                for first, last in items.spans(item, docs[k], p - offset):
-                    yield k, item, first, last
+class Shard:
+    """The documents of one shard with their index, which any number of items can be searched in."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.docs = docs
+        at, symbols, origin = [], [], []
+        for k, d in enumerate(docs):
+            d = np.append(d, OTHER)  # documents stay apart
+            keep = np.ones(len(d), dtype=bool)
+            keep[1:] = (d[1:] != OTHER) | (d[:-1] != OTHER)  # of other words in a row one is enough
+            symbols.append(d[keep]), origin.append(np.flatnonzero(keep)), at.append(np.full(keep.sum(), k, dtype=np.int64))
+        self.place, self.doc = np.concatenate(origin), np.concatenate(at)
+        self.index = FMIndex(np.concatenate(symbols))
+
+    def leaks(self, items: Items) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word, last word)."""
+        if not items.parts:
+            return
+        which, position = self.index.occurrences(items.parts)
+        seen = set()
+        for part, k, p in zip(which.tolist(), self.doc[position].tolist(), self.place[position].tolist(), strict=True):
+            for item, offset in items.uses[part]:
+                if (k, item, p - offset) not in seen:
+                    seen.add((k, item, p - offset))
+                    for first, last in items.spans(item, self.docs[k], p - offset):
+                        yield k, item, first, last
 
 
 def leaks(docs: DataFrame, evals: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", eval_id: str = "eval_id", run: int = 12, one_in: int = 10, shard_words: int = 1_000_000, block: int = 20_000) -> DataFrame:
@@ -119,42 +126,46 @@ def leaks(docs: DataFrame, evals: DataFrame, *, id_col: str = "doc_id", text_col
     or inserted; words as in words(). An item or document without words leaks nothing, a NULL id keeps its rows, an item of fewer than `one_in`
     words must stand unchanged; empty tables give no rows. A repeated document row is reported once per row, a repeated item once per id.
 
-    The items are the query set: they are read in blocks of `block` rows, each searched against all documents in a pass of its own. Documents
-    are indexed shard by shard within their tasks, whole and in any number; nothing is shuffled but the hits.
+    The items are the query set: they are read in blocks of `block` rows. Documents are indexed shard by shard within their tasks, whole and in any number, and each shard's
+    index, made once, is searched for one block after another, so the documents are read once however many items there are; a worker holds one block at a time and the
+    words of all items. Nothing is shuffled but the hits.
     """
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for df, c in ((docs, id_col), (evals, eval_id))]
     schema = f"{kinds[0]}, {kinds[1]}, first_word long, last_word long"
-    found = None
     rows = evals.select(eval_id, text_col)
     total = rows.count()
     blocks = [rows] if total <= block else [rows.where(F.pmod(F.xxhash64(eval_id), F.lit(-(-total // block))) == i) for i in range(-(-total // block))]
-    for part in blocks:
-        items = Items([tuple(r) for r in part.collect()], run, one_in)
-
-        def search(frames: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
-            ids, shard, size = [], [], 0
-
-            def done() -> pd.DataFrame:
-                hits = list(shard_leaks(items, shard))
-                return pd.DataFrame({id_col: pd.Series([ids[h[0]] for h in hits], dtype=object), eval_id: pd.Series([items.ids[h[1]] for h in hits], dtype=object), "first_word": [h[2] for h in hits], "last_word": [h[3] for h in hits]})
-
-            number = items.number
-            for pdf in frames:
-                for i, text in zip(pdf[id_col], pdf[text_col], strict=True):
-                    w = words(text)
-                    if w:
-                        ids.append(None if pd.isna(i) else i)
-                        shard.append(np.fromiter((number.get(x, OTHER) for x in w), dtype=np.int64, count=len(w)))
-                        size += len(w)
-                    if size >= shard_words:
-                        yield done()
-                        ids, shard, size = [], [], 0
-            if shard:
-                yield done()
-
-        hits = docs.select(id_col, text_col).mapInPandas(search, schema)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    numbers: dict[str, int] = {}
+    sent = [docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part.collect()], run, one_in, numbers)) for part in blocks]  # the query set, a block at a time
+    known = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, shard, size = [], [], 0
+        number = known.value
+
+        def done() -> Iterator[pd.DataFrame]:
+            index = Shard(shard)
+            for block in sent:
+                items = block.value
+                hits = list(index.leaks(items))
+                yield pd.DataFrame({id_col: pd.Series([ids[h[0]] for h in hits], dtype=object), eval_id: pd.Series([items.ids[h[1]] for h in hits], dtype=object), "first_word": [h[2] for h in hits], "last_word": [h[3] for h in hits]})
+                if len(sent) > 1:
+                    block.__dict__.pop("_value", None)  # read again for the next shard, so only one block is held
+
+        for pdf in frames:
+            for i, text in zip(pdf[id_col], pdf[text_col], strict=True):
+                w = words(text)
+                if w:
+                    ids.append(None if pd.isna(i) else i)
+                    shard.append(np.fromiter((number.get(x, OTHER) for x in w), dtype=np.int64, count=len(w)))
+                    size += len(w)
+                if size >= shard_words:
+                    yield from done()
+                    ids, shard, size = [], [], 0
+        if shard:
+            yield from done()
+
+    return docs.select(id_col, text_col).mapInPandas(search, schema)
 
 
 def removal_spans(found: DataFrame, *, id_col: str = "doc_id", eval_id: str = "eval_id") -> DataFrame:

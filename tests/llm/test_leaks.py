@@ -70,7 +70,7 @@ def test_against_brute_force(spark, seed):
     docs += [(500, None, "y"), (501, "", "y"), (502, items[6][1].upper().replace(" ", " * "), "y"), (502, items[6][1], "y")]
     df, ev = spark.createDataFrame(docs, "doc_id bigint, text string, eval_id string"), spark.createDataFrame(items, "eval_id bigint, text string, doc_id string")
     want = {(d, e) for d, t, _ in docs for e, i, _ in items if t and i and holds(i, t)}
-    for kw in ({}, {"shard_words": 200}, {"block": 4}):
+    for kw in ({}, {"shard_words": 200}, {"block": 4}, {"block": 4, "shard_words": 200}):
         found = leaks.leaks(df, ev, **kw)
         assert {(r.doc_id, r.eval_id) for r in found.collect()} == want
     assert leaks.leaks(df.limit(0), ev).collect() == [] and leaks.leaks(df, ev.limit(0)).collect() == []
