@@ -58,13 +58,17 @@ def read_headers(files: DataFrame) -> DataFrame:
 NOTHING, WHOLE, DECIMAL, TRUTH = r"(?i)^ *(nan)? *$", r"^ *[+-]?\d+ *$", NUMBER.replace("^", "^ *").replace("$", " *$"), r"(?i)^ *(true|false) *$"
 
 
+#: A quoted value and what follows its closing quote.
+_OPENED = r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'
+
+
 def _cut(record: Column, delimiter: Column) -> Column:
     """The values of a line: cut at the delimiter, quoted ones by a pattern (a doubled quote is one quote, an open one goes on to the end)."""
     quoted = None
     for d in DELIMITERS:
         c = "\\" + d if d == "|" else d
         pattern = f'{c}("(?:[^"]++|"")*+(?:"[^{c}]*|$)|[^{c}]*)'
-        raw = F.transform(F.regexp_extract_all(F.concat(F.lit(d), record), F.lit(pattern), 1), lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, r'(?s)^"((?:[^"]++|"")*+)"?', "$1"), F.lit('""'), F.lit('"'))).otherwise(x))
+        raw = F.transform(F.regexp_extract_all(F.concat(F.lit(d), record), F.lit(pattern), 1), lambda x: F.when(x.startswith('"'), F.concat(F.replace(F.regexp_extract(x, _OPENED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, _OPENED, 2))).otherwise(x))
         quoted = F.when(delimiter == d, raw) if quoted is None else quoted.when(delimiter == d, raw)
     plain = None
     for d in DELIMITERS:
