@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from takeloom.session import NUMBER, canonical, stage, value_or_null
+from takeloom.session import NUMBER, canonical, stage
 
 DELIMITERS = (",", ";", "\t", "|")
 #: Classes from narrow to wide; integer fits decimal, everything fits text.
 CLASSES = ("boolean", "integer", "decimal", "text")
+#: SQL types that are read from numbers; columns of other types are text, as it is.
+NUMERIC = ("double", "float", "int", "bigint")
 
 
 def _split(line: str, delimiter: str) -> list[str]:
@@ -79,7 +81,7 @@ def _cut(record: Column, delimiter: Column) -> Column:
 
 def value_class(raw: Column) -> Column:
     """0 boolean, 1 integer, 2 decimal, 3 text; NULL for no value."""
-    return F.when(raw.isNull() | raw.rlike(NOTHING), None).when(raw.rlike(WHOLE), 1).when(raw.rlike(DECIMAL), 2).when(raw.rlike(TRUTH), 0).otherwise(3)
+    return F.when(raw.rlike(DECIMAL), F.when(raw.rlike(WHOLE), 1).otherwise(2)).when(raw.isNull() | raw.rlike(NOTHING), None).when(raw.rlike(TRUTH), 0).otherwise(3)
 
 
 def read_records(records: DataFrame, headers: DataFrame) -> DataFrame:
@@ -122,16 +124,18 @@ def _fits(need: Column, have: Column) -> Column:
     return have.isNull() | (have == need) | (need == 3) | ((need == 2) & (have == 1))
 
 
-def ingested(records: DataFrame, want: Column) -> DataFrame:
-    """records with `kept` (map of the fields whose value fits what is wanted, see wanted()) and `_rescued` (JSON of all others, NULL where there are none)."""
-    def entry(x: Column, i: Column) -> Column:
-        need, have = F.get(want, i), F.get("codes", i)
-        return F.struct(F.get("fields", i).alias("field"), x.alias("raw"), ((need >= 0) & _fits(need, have)).alias("fit"))
+def ingested(records: DataFrame, want: Column, rescued_only: bool = False) -> DataFrame:
+    """records with `kept` (map of the fields whose value fits what is wanted, see wanted()) and `_rescued` (JSON of all others, NULL where there are none).
 
-    pairs = lambda fit: F.map_from_entries(F.transform(F.filter("entries", lambda e: e["fit"] if fit else ~e["fit"]), lambda e: F.struct(e["field"], e["raw"])))
-    rows = records.withColumn("entries", F.transform("raw", entry))
-    lost = F.when(F.exists("entries", lambda e: ~e["fit"]), F.to_json(pairs(False), {"ignoreNullFields": "false"}))
-    return rows.withColumn("kept", pairs(True)).withColumn("_rescued", lost).drop("entries")
+    rescued_only: only records that have some, and no `kept`.
+    """
+    rows = records.withColumn("_fit", F.zip_with(F.slice(want, 1, F.size("raw")), "codes", lambda need, have: (need >= 0) & _fits(need, have)))
+    fit = F.col("_fit")
+    part = lambda good: F.map_from_arrays(*[F.filter(c, lambda _, i: F.get(fit, i) if good else ~F.get(fit, i)) for c in ("fields", "raw")])
+    some, lost = F.exists("_fit", lambda f: ~f), F.to_json(part(False), {"ignoreNullFields": "false"})
+    if rescued_only:  # before the JSON is made, or it would be made for the test as well
+        return rows.where(some).withColumn("_rescued", lost).drop("_fit")
+    return rows.withColumn("kept", part(True)).withColumn("_rescued", F.when(some, lost)).drop("_fit")
 
 
 def rescue(records: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -147,7 +151,7 @@ def rescue(records: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def promote(rescued: DataFrame, approved: dict[str, tuple[str, str]]) -> DataFrame:
-    """Replay rescued values into typed columns. approved: column -> (SQL type, names under which the field occurs, comma-separated, the first first).
+    """Replay rescued values into typed columns. approved: column -> (SQL type, a number's or string, and the names under which the field occurs, comma-separated, the first first).
 
     Each column takes the first of its names that has a castable value, in `kept` or in `_rescued`; what a column took leaves `_rescued`, what
     can't be cast, isn't approved or came second stays there. No value is NULL in its column.
@@ -155,20 +159,21 @@ def promote(rescued: DataFrame, approved: dict[str, tuple[str, str]]) -> DataFra
     text = "map<string,string>"
     df = rescued.withColumn("lost", F.coalesce(F.from_json("_rescued", text), F.expr("map()").cast(text)))
     # a field is in one of the two maps; every value is trimmed and read as a number once, columns only pick
-    df = df.withColumn("texts", F.map_filter(F.transform_values(F.map_concat(F.coalesce("kept", F.expr("map()").cast(text)), "lost"), lambda _, v: value_or_null(v)), lambda _, v: v.isNotNull()))
+    df = df.withColumn("texts", F.map_filter(F.transform_values(F.map_concat(F.coalesce("kept", F.expr("map()").cast(text)), "lost"), lambda _, v: F.trim(v)), lambda _, v: ~F.lower(v).isin("", "nan")))
     df = df.withColumn("numbers", F.transform_values(F.map_filter("texts", lambda _, v: v.rlike(NUMBER)), lambda _, v: v.try_cast("double")))
 
-    def pick(name: str, alias: str) -> Column:
-        kind = approved[name][0]
-        return F.col("numbers")[alias].try_cast(kind) if kind in ("double", "float", "int", "bigint") else F.col("texts")[alias].try_cast(kind)
-
-    values = {name: [(a, pick(name, a)) for a in aliases.split(",")] for name, (_, aliases) in approved.items()}
-    df = df.withColumns({f"_{n}": F.coalesce(*[v for _, v in options]) for n, options in values.items()})
-    taken = [F.coalesce(*[F.when(v.isNotNull(), F.lit(a)) for a, v in options]) for options in values.values()]
-    df = df.withColumn("taken", F.array_compact(F.array(*taken)))
+    # one array of columns for each map, so that the generated code stays small however many columns there are
+    kinds = {"numbers": [n for n, (k, _) in approved.items() if k in NUMERIC], "texts": [n for n, (k, _) in approved.items() if k not in NUMERIC]}
+    for place, names in kinds.items():
+        options = F.array(*[F.array(*map(F.lit, approved[n][1].split(","))) for n in names]) if names else F.array().cast("array<array<string>>")
+        found = F.col(place)
+        df = df.withColumn(f"{place}_from", F.transform(options, lambda o: F.get(F.filter(o, lambda a: found[a].isNotNull()), 0)))  # noqa: B023
+        df = df.withColumn(f"{place}_value", F.transform(f"{place}_from", lambda a: found[a]))  # noqa: B023
+    df = df.withColumn("taken", F.array_compact(F.concat("numbers_from", "texts_from")))
     df = df.withColumn("rest", F.map_filter("lost", lambda k, _: ~F.array_contains("taken", k)))
     df = df.withColumn("_rescued", F.when(F.size("rest") > 0, F.to_json("rest", {"ignoreNullFields": "false"})))
-    return df.select(*[c for c in rescued.columns if c not in ("kept", "_rescued")], "_rescued", *[F.col(f"_{n}").alias(n) for n in approved])
+    at = {n: F.get(f"{place}_value", i) for place, names in kinds.items() for i, n in enumerate(names)}
+    return df.select(*[c for c in rescued.columns if c not in ("kept", "_rescued")], "_rescued", *[at[n].try_cast(k).alias(n) for n, (k, _) in approved.items()])
 
 
 def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -200,7 +205,7 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     # a header is a line without values; lines that end early get none for the rest
     whole = lines.select("file_id", "line_no", "fields", F.transform("fields", lambda _, i: F.get("raw", i)).alias("raw"), "codes")
     empty = headers.select("file_id", F.lit(None).cast(whole.schema["line_no"].dataType).alias("line_no"), "fields", F.transform("fields", lambda _: F.lit(None).cast("string")).alias("raw"), F.array().cast("array<int>").alias("codes"))
-    found = ingested(whole.unionByName(empty).join(wants, "file_id"), F.col("want")).where("_rescued is not null")
+    found = ingested(whole.unionByName(empty).join(wants, "file_id"), F.col("want"), rescued_only=True)
     found = stage(found.select("pair", "side", "line_no", "unknown", "_rescued"), "rescued")
 
     lost = found.withColumn("lost", F.from_json("_rescued", "map<string,string>")).select("pair", "side", "line_no", "unknown", "lost")
