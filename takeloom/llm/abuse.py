@@ -11,6 +11,7 @@ import base64
 import os
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -34,6 +35,9 @@ SPELLINGS = {"fuk": "fuck", "fuks": "fuck", "fuking": "fucking", "fukin": "fucki
 FOLDER = os.environ.get("TAKELOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
+#: Words of a sentence that are looked at together, and how many of them stretches share: more than a phrase and what it is lowered by reach over.
+STRETCH, OVERLAP = 400, 100
+
 _UNSEEN = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u3164\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-*_/])(?:[^\W_]\1)+[^\W_](?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|[\n\r\u0085\u2028\u2029]+")
@@ -42,6 +46,7 @@ _WRAPPED = re.compile(r"(?<=[a-z,])[ \t]*\r?\n[ \t>]*(?=[a-z])")
 _WORD = r"[\w$@*#]+(?:!+[\w$@*#]+)*"
 _WORDS = re.compile(_WORD)
 _TOKEN = re.compile(r"[,:;]|--|[\u2013\u2014]|" + _WORD)
+_PAUSES = frozenset([",", ":", ";", "\u2013", "\u2014", "--"])
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _RUN = re.compile(r"(.)\1{2,}")
 _REPEAT = re.compile(r"(.)\1+")
@@ -160,15 +165,15 @@ class Lexicon:
 
     def cut(self, drawn: str) -> str:
         """The terms in letters that were spaced out, longest first from the left, set apart from what is between them."""
-        out, rest, i = [], "", 0
+        out, since, i = [], 0, 0
         while i < len(drawn):
             term = next((drawn[i : i + n] for n in range(min(self.longest, len(drawn) - i), 3, -1) if drawn[i : i + n] in self.terms), None)
             if term:
-                out += [rest, term] if rest else [term]
-                rest, i = "", i + len(term)
+                out += [drawn[since:i], term] if since < i else [term]
+                since = i = i + len(term)
             else:
-                rest, i = rest + drawn[i], i + 1
-        return " ".join([*out, rest] if rest else out)
+                i += 1
+        return " ".join([*out, drawn[since:]] if since < len(drawn) else out)
 
     def score(self, text: str | None) -> tuple[float, str]:
         """The score of the worst sentence, from 0 to 1, and the words that made it."""
@@ -186,28 +191,45 @@ class Lexicon:
         if not text:
             return
         folded = fold(text, self.cut)
-        spelled = self.spelled
+        spelled, part_of = self.spelled, self.part_of
         fresh = set(_WORDS.findall(folded)) - self.idle
-        hits = {w for w in fresh if spelled(w)[0] in self.part_of}
+        hits = {w for w in fresh if spelled(w)[0] in part_of}
         if len(self.idle) > 1_000_000:
             self.idle.clear()
         self.idle |= fresh - hits
         if not hits:
             return
         for sentence in _SENTENCE.split(folded):
-            if not any(h in sentence for h in hits):
+            # a few words are sought as they are before the sentence is cut into its own
+            if len(hits) <= 16 and not any(h in sentence for h in hits):
+                continue
+            tokens = _TOKEN.findall(sentence)
+            if len(tokens) > STRETCH:
+                yield from self.stretches(sentence)
                 continue
             said, phrases = [], set()
-            for t in _TOKEN.findall(sentence):
-                if len(t) == 1 and t in ",:;\u2013\u2014" or t == "--":
+            for t in tokens:
+                if t in _PAUSES:
                     said.append(",")
-                    continue
-                w = spelled(t)[0]
-                phrases |= self.part_of.get(w, set())
-                said.append(w)
+                else:
+                    w = spelled(t)[0]
+                    if (own := part_of.get(w)) is not None:
+                        phrases |= own
+                    said.append(w)
             if phrases and (found := list(self.hits(" ".join(said), sentence, phrases))):
                 yield found
 
+    def stretches(self, sentence: str) -> Iterator[list[tuple[int, str, bool]]]:
+        """sentences() of what goes on without an end: overlapping stretches of it, so that the time for a text grows with its length alone."""
+        places = [m.span() for m in _TOKEN.finditer(sentence)]
+        said = ["," if (t := sentence[a:b]) in _PAUSES else self.spelled(t)[0] for a, b in places]
+        gates = [k for k, w in enumerate(said) if w in self.part_of]
+        for start in range(0, len(said) - OVERLAP, STRETCH - OVERLAP) if gates else ():
+            end = min(len(said), start + STRETCH)
+            phrases = set().union(*(self.part_of[said[g]] for g in gates[bisect_left(gates, start) : bisect_left(gates, end)]))
+            if phrases and (found := list(self.hits(" ".join(said[start:end]), sentence[places[start][0] : places[end - 1][1] + 1], phrases))):
+                yield found
+
     def hits(self, line: str, raw: str, phrases: set[int]) -> Iterator[tuple[int, str, bool]]:
         """(phrase, its words, are they spoken about rather than spoken) of the phrases that the line holds."""
         for k in sorted(phrases):

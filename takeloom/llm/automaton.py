@@ -21,6 +21,7 @@ class Trie:
         self.root: dict = {}
         #: What is left of the terms without up to `most` of their letters: a word within so many slips shares one of these with a term.
         self.left = [frozenset(x for t in terms for x in without(t, k)) for k in range(most + 1)]
+        self.longest = max(map(len, terms), default=0)
         for term in terms:
             node = self.root
             for c in term:
@@ -32,6 +33,8 @@ class Trie:
 
         Words that share no remainder with a term are turned away before the walk; none that is near is lost by that.
         """
+        if len(token) > self.longest + most:
+            return []
         if wildcard not in token and most < len(self.left) and self.left[most].isdisjoint(without(token, most)):
             return []
         m = len(token)

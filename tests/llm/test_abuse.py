@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from re import _constants as sre
 from re import _parser as parser
 
@@ -171,6 +172,21 @@ def test_wrapped_lines():
     assert abuse.lexicon().score("Mark the vowel you\n\nBastard file: see drawer 4.")[0] < 0.5
 
 
+@pytest.mark.parametrize("text", ["you " * 300_000 + "idiot", "hope " * 200_000 + "die , moron", "a b " * 300_000 + "x", "i will " * 150_000 + "kill", "you re so very , " * 60_000 + "idiot"])
+def test_time_grows_with_length(text):
+    began = time.monotonic()
+    abuse.lexicon().score(text)
+    assert time.monotonic() - began < 30
+
+
+def test_endless_sentence():
+    """A line without an end is read whole, whatever its length, and across the borders of its stretches."""
+    lex = abuse.lexicon()
+    for n in (0, 295, 299, 300, 301, 395, 399, 400, 5_000, 100_003):
+        assert lex.score("tape " * n + "you are an idiot " + "tape " * 50)[0] >= 0.5, n
+        assert lex.score("tape " * n + "the word idiot is on the list " + "tape " * 50)[0] < 0.5, n
+
+
 def measured(abusive, harmless):
     lex = abuse.lexicon()
     hit, false = sum(lex.score(t)[0] >= 0.5 for t in abusive), sum(lex.score(t)[0] >= 0.5 for t in harmless)
