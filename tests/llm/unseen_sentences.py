@@ -1,4 +1,7 @@
-"""Sentences written for the tests alone, without a look at the corpus or at what the lexicon finds; none was changed or dropped after its first run."""
+"""Sentences made up for the tests, none taken from the corpus. They are not blind: their author had written the lexicon and had seen which phrases it finds in the corpus.
+
+None was changed or dropped after its first run.
+"""
 
 ABUSIVE = """
 Honestly, you're the dumbest idiot I have ever had to work with.
