@@ -1,11 +1,13 @@
 """Annotated tiers of utterances: building the tier to annotate, checking what came back, and measuring it.
 
-An utterance is one document of a few hundred intervals, so each is handled whole by one call; documents are spread over all tasks.
+An utterance is one document of a few hundred intervals, so each is handled whole; documents are spread over all tasks. A task reads its own as one sorted
+stream, since a frame of its own for each document costs far more than measuring it does.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 Interval = tuple[float, float, str]
 #: FIXED VALUES: how far a boundary may be off, in seconds, and the labels an annotator may give.
 TOLERANCE, LABELS = 0.005, ("", "c")
+#: Rows of a frame that a task gives back.
+BATCH = 10_000
 RESULT = "n_tokens int, n_creaky int, proportion double, positions array<double>, merged array<double>, error string"
 
 
@@ -81,7 +85,8 @@ def measure(phones: list[Interval], creak: list[Interval], wanted: set[str]) ->
     odd = sorted({c[2].strip() for c in creak} - set(LABELS))
     if odd:
         return {**empty, "error": f"unexpected labels {odd}"}
-    tokens = [c for c in creak if any(_near(c[0], a) and _near(c[1], b) for a, b in spans)]
+    firsts = [a for a, _ in spans]
+    tokens = [c for c in creak if any(_near(c[0], a) and _near(c[1], b) for a, b in spans[bisect_left(firsts, c[0] - 2 * TOLERANCE) : bisect_left(firsts, c[0] + 2 * TOLERANCE)])]
     total = sum(b - a for a, b, _ in tokens)
     if not tokens or total <= 0:
         return {**empty, "error": "no tokens"}
@@ -90,37 +95,63 @@ def measure(phones: list[Interval], creak: list[Interval], wanted: set[str]) ->
     return {"n_tokens": len(tokens), "n_creaky": len(creaky), "proportion": sum(b - a for a, b, _ in creaky) / total, "positions": positions, "merged": dropped, "error": None}
 
 
-def _tier(pdf: pd.DataFrame, names: list[str]) -> list[Interval]:
-    for name in names:
-        rows = pdf[pdf["tier"] == name].sort_values(["start", "end"])
-        if len(rows):
-            return [(a, b, label or "") for a, b, label in rows[["start", "end", "label"]].itertuples(index=False)]
-    return []
+def _tier(tiers: dict[str, list[Interval]], names: tuple[str, ...]) -> list[Interval]:
+    """Intervals of the first of names that the document has."""
+    return next((tiers[n] for n in names if n in tiers), [])
+
+
+def _by_document(grids: DataFrame, rows_of: Callable[[str, dict[str, list[Interval]]], list[tuple]], schema: str) -> DataFrame:
+    """The rows that rows_of(doc_id, intervals by tier) gives for each document of grids; intervals by start, end and label. A document of any length is one call; a task
+    holds one document and a frame of rows. Rows without doc_id or start don't count."""
+    given, names = ["doc_id", "tier", "start", "end", "label"], [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc: str | None = None
+        tiers: dict[str, list[Interval]] = {}
+        out: list[tuple] = []
+        for pdf in frames:
+            for d, tier, a, b, label in zip(*(pdf[c].tolist() for c in given), strict=True):
+                if d != doc:
+                    if doc is not None:
+                        out += rows_of(doc, tiers)
+                    doc, tiers = d, {}
+                    if len(out) >= BATCH:
+                        yield pd.DataFrame(out, columns=names, dtype=object)
+                        out = []
+                tiers.setdefault(tier, []).append((a, b, label or ""))
+        if doc is not None:
+            out += rows_of(doc, tiers)
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    rows = grids.select(*given).where("doc_id is not null and start is not null")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "tier", "start", F.asc_nulls_last("end"), "label").mapInPandas(run, schema)
 
 
 def annotation_tiers(grids: DataFrame, wanted: set[str], names: tuple[str, ...] = ("phones", "phone", "segments")) -> DataFrame:
     """The blank tier to annotate (doc_id, tier `creak`, start, end, label, error) of each document of grids (doc_id, tier, start, end, label)."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        phones, doc = _tier(pdf, list(names)), pdf["doc_id"].iloc[0]
-        rows: list[tuple]
+    def build(doc: str, tiers: dict[str, list[Interval]]) -> list[tuple]:
+        phones = _tier(tiers, names)
+        if not phones:
+            return [(doc, None, None, None, None, "no phones tier")]
         try:
-            rows = [(doc, "creak", a, b, label, None) for a, b, label in gapless(labelled_spans(phones, wanted), phones[0][0], max(p[1] for p in phones))] if phones else [(doc, None, None, None, None, "no phones tier")]
+            return [(doc, "creak", *part, None) for part in gapless(labelled_spans(phones, wanted), phones[0][0], max(p[1] for p in phones))]
         except ValueError as e:
-            rows = [(doc, None, None, None, None, str(e))]
-        return pd.DataFrame(rows, columns=["doc_id", "tier", "start", "end", "label", "error"])
+            return [(doc, None, None, None, None, str(e))]
 
-    return grids.select("doc_id", "tier", "start", "end", "label").where("doc_id is not null and start is not null").groupBy("doc_id").applyInPandas(build, "doc_id string, tier string, start double, end double, label string, error string")
+    return _by_document(grids, build, "doc_id string, tier string, start double, end double, label string, error string")
 
 
 def measured(grids: DataFrame, wanted: set[str], names: tuple[str, ...] = ("phones", "phone", "segments")) -> DataFrame:
     """One row per document (doc_id and the fields of measure()); a document with a problem has its error and no measures."""
+    fields = [c.split()[0] for c in RESULT.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = measure(_tier(pdf, list(names)), _tier(pdf, ["creak"]), wanted)
-        return pd.DataFrame([{"doc_id": pdf["doc_id"].iloc[0], **r}]).astype({"n_tokens": "Int32", "n_creaky": "Int32"})
+    def run(doc: str, tiers: dict[str, list[Interval]]) -> list[tuple]:
+        r = measure(_tier(tiers, names), tiers.get("creak", []), wanted)
+        return [(doc, *(r[f] for f in fields))]
 
-    return grids.select("doc_id", "tier", "start", "end", "label").where("doc_id is not null and start is not null").groupBy("doc_id").applyInPandas(run, f"doc_id string, {RESULT}")
+    return _by_document(grids, run, f"doc_id string, {RESULT}")
 
 
 def after_label(tier: DataFrame, label: str, durations: DataFrame, tolerance: float = 0.01) -> DataFrame:

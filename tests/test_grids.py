@@ -80,6 +80,40 @@ def test_measured(spark):
     assert [tuple(r) for r in rest.collect()] == [("ok", 0.80, 1.07)]
 
 
+def test_many_documents_are_one_stream(spark):
+    """Small documents are not a call each; one that begins in one batch and ends in another is still whole."""
+    rng = random.Random(12)
+    rows, want, blank = [], {}, []
+    for k in range(120):
+        spans, end = random_spans(rng, rng.randint(1, 9))
+        phones = [(a, b, rng.choice("lurspe")) for a, b in spans]
+        marked = [(a, b, rng.choice(("", "c", "x") if k % 5 == 0 else ("", "c"))) for a, b, _ in grids.gapless(grids.labelled_spans(phones, SOUND), phones[0][0], phones[-1][1])]
+        rows += [(f"d{k}", "phone", *p) for p in phones] + [(f"d{k}", "creak", *c) for c in marked if k % 7]
+        want[f"d{k}"] = grids.measure(phones, marked if k % 7 else [], SOUND)
+        blank += [(f"d{k}", "creak", a, b, "", None) for a, b, _ in marked]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        measured, tiers = grids.measured(df, SOUND), grids.annotation_tiers(df, SOUND)
+        assert {r.doc_id: {f: r[f] for f in want["d0"]} for r in measured.collect()} == want
+        assert sorted(map(tuple, tiers.collect())) == sorted(blank)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for out in (measured, tiers):
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_long_document(monkeypatch):
+    """The bounds compared grow with the intervals of a document, not with their square."""
+    compared = []
+    near = grids._near
+    monkeypatch.setattr(grids, "_near", lambda x, y: compared.append(1) or near(x, y))
+    phones = [(k / 10, (k + 1) / 10, "lp"[k % 2]) for k in range(2000)]
+    r = grids.measure(phones, [(a, b, "c" if k % 4 == 0 else "") for k, (a, b, _) in enumerate(phones)], SOUND)
+    assert (r["n_tokens"], r["n_creaky"], r["error"]) == (1000, 500, None) and len(compared) < 20 * len(phones)
+
+
 def test_scored(spark):
     manifest = spark.createDataFrame([("u1", "a b", "It's $5", True), ("u2", None, "x", False)], "utt_id string, script_text string, verbatim_text string, was_corrected boolean")
     hyp = spark.createDataFrame([("u1", "It's five dollars!"), ("u2", "y")], "utt_id string, hypothesis string")
